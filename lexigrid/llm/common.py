@@ -76,18 +76,18 @@ def normalised(text: Column) -> Column:
 HOT = 512
 
 
-def lookup(rows: DataFrame, unique: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """rows left join unique on keys, where unique has each key once and `count` says how many rows
-    have it. Keys that hold 1/HOT of all rows or more, at most HOT keys, are broadcast, so that the
-    shuffled join has no hot key left."""
+def lookup(rows: DataFrame, unique: DataFrame, keys: list[str], count: str, total: int, inner: bool = False) -> DataFrame:
+    """rows left (or inner) join unique on keys, where unique has each key once and `count` says how
+    many rows have it. Keys that hold 1/HOT of all rows or more, at most HOT keys, are broadcast, so
+    that the shuffled join has no hot key left. Both tables are read twice: they should be written."""
     values = [c for c in unique.columns if c not in keys]
     hot_from = max(2, -(-total // HOT))
     hot = unique.where(F.col(count) >= hot_from).select(*keys, F.struct(*values).alias("_hot"))
     rest = unique.where(F.col(count) < hot_from).select(*keys, F.struct(*values).alias("_rest"))
     met = rows.join(F.broadcast(hot), keys, "left")
     own = met.where(F.col("_hot").isNotNull()).withColumn("_v", F.col("_hot"))
-    other = met.where(F.col("_hot").isNull()).join(rest, keys, "left").withColumn("_v", F.col("_rest"))
-    pick = [c for c in rows.columns] + [F.col("_v")[c].alias(c) for c in values]
+    other = met.where(F.col("_hot").isNull()).join(rest, keys, "inner" if inner else "left").withColumn("_v", F.col("_rest"))
+    pick = [*rows.columns, *[F.col("_v")[c].alias(c) for c in values]]
     return own.select(*pick).unionByName(other.select(*pick))
 
 

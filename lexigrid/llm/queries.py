@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, records, token_count
+from . import bpe, exact_dedup, mixing, records, substring_dedup, suffix_dedup, token_count
 from .common import Scratch
 
 
@@ -24,11 +24,23 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = suffix_dedup.suffix_dedup(docs, length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
     return mixing.mixture(docs, target_entropy=0.95, max_repeats=4.0)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = substring_dedup.substring_dedup(docs, length=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     scratch = Scratch(spark, "op9")
@@ -42,5 +54,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_bpe, op7_mixing, op9_token_records, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_bpe, op5_suffix_dedup, op7_mixing, op8_substring_dedup, op9_token_records, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
