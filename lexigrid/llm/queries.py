@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, records, substring_dedup, suffix_dedup, token_count
+from . import bpe, exact_dedup, langid, mixing, records, substring_dedup, suffix_dedup, token_count
 from .common import Scratch
 
 
@@ -24,6 +24,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return langid.predict(docs, langid.fit(docs)).drop("probs")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     out = suffix_dedup.suffix_dedup(docs, length=400)
@@ -54,5 +59,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_bpe, op5_suffix_dedup, op7_mixing, op8_substring_dedup, op9_token_records, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_bpe, op4_language_id, op5_suffix_dedup, op7_mixing, op8_substring_dedup, op9_token_records, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
