@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, records, substring_dedup, suffix_dedup, token_count
+from . import bpe, embed_dedup, exact_dedup, langid, mixing, records, substring_dedup, suffix_dedup, token_count
 from .common import Scratch
 
 
@@ -35,6 +35,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embed_dedup(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), threshold=0.93)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
     return mixing.mixture(docs, target_entropy=0.95, max_repeats=4.0)
@@ -59,5 +63,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_bpe, op4_language_id, op5_suffix_dedup, op7_mixing, op8_substring_dedup, op9_token_records, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_bpe, op4_language_id, op5_suffix_dedup, op6_embed_dedup, op7_mixing, op8_substring_dedup, op9_token_records, op10_token_counts)}
+#: Over all pairs of a label; links are followed to the least vec_id.
+EMBED_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+f AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM e
+      WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM f a JOIN f b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.93),
+r(u, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.w, r.c FROM r JOIN l ON r.u = l.u),
+c AS (SELECT u, min(c) AS component_id FROM r GROUP BY u),
+k AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, c.component_id, vec_id = c.component_id AS kept
+FROM embeddings JOIN c ON c.u = vec_id LEFT JOIN k ON k.u = vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_embed_dedup": EMBED_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
