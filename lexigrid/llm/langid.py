@@ -257,3 +257,20 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
 
     d = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return d.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, probs array<double>")
+
+
+def keep_known(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """df's rows, all columns, in whose text predict() finds a language; the others, `und`, go."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            texts = b.column(at)
+            known = np.array([t is not None and LETTER.search(t) is not None for t in texts.to_pylist()])
+            if model.langs:
+                known &= model.predict(*raw(texts)).max(axis=1) > 0
+            else:
+                known[:] = False
+            yield b.filter(pa.array(known))
+
+    return df.mapInArrow(run, df.schema)

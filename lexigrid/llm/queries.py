@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, exact_dedup, langid, mixing, records, substring_dedup, suffix_dedup, token_count
+from . import bpe, embed_dedup, exact_dedup, langid, minhash, mixing, records, substring_dedup, suffix_dedup, token_count
 from .common import Scratch
 
 
@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return minhash.near_dedup(docs, threshold=0.6, ratio=1.25)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -63,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_bpe, op4_language_id, op5_suffix_dedup, op6_embed_dedup, op7_mixing, op8_substring_dedup, op9_token_records, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op3_bpe, op4_language_id, op5_suffix_dedup, op6_embed_dedup, op7_mixing, op8_substring_dedup, op9_token_records, op10_token_counts)}
 #: Over all pairs of a label; links are followed to the least vec_id.
 EMBED_SQL = """
 WITH RECURSIVE e AS (
