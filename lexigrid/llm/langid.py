@@ -259,8 +259,9 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     return d.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, probs array<double>")
 
 
-def keep_known(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """df's rows, all columns, in whose text predict() finds a language; the others, `und`, go."""
+def keep_known(df: DataFrame, model: LanguageModel, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
+    """df's rows, all columns, in whose text predict() finds a language with at least min_score; the
+    others go: `und`, and text that is hardly more of one language than of any other."""
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +269,7 @@ def keep_known(df: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             texts = b.column(at)
             known = np.array([t is not None and LETTER.search(t) is not None for t in texts.to_pylist()])
             if model.langs:
-                known &= model.predict(*raw(texts)).max(axis=1) > 0
+                known &= model.predict(*raw(texts)).max(axis=1) >= min_score
             else:
                 known[:] = False
             yield b.filter(pa.array(known))
