@@ -1 +1 @@
-"""TBD."""
+"""Column functions, row kernels and their SQL registration."""

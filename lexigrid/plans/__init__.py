@@ -1 +1 @@
-"""TBD."""
+"""The registered queries and their SQL."""

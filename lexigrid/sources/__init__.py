@@ -1 +1 @@
-"""TBD."""
+"""Corpora as DataFrames, and tagger models in files."""
