@@ -21,7 +21,7 @@ from .winnow import NO_ID, WordText, by_anchor, by_document, candidates, context
 
 #: Words of an anchor's gram, at most, and entries of one anchor beyond which its windows are counted
 #: by Spark one by one and not gathered in a task.
-GRAM, MANY = 8, 20_000
+GRAM, MANY = 16, 20_000
 
 
 def refine(classes: np.ndarray, word: np.ndarray) -> np.ndarray:
