@@ -138,7 +138,7 @@ def test_banding_is_tuned_to_the_sizes():
     assert strict[20][1] > loose[20][1]
     for s in (0.2, 0.5, 0.9):
         bands, rows = minhash.banding(s)
-        assert bands * rows <= minhash.MINIMA and 1 - (1 - s**rows) ** bands >= minhash.LEAST
+        assert bands * rows <= minhash.SIDE and 1 - (1 - s**rows) ** (bands * minhash.PARTS) >= minhash.LEAST
 
 
 def test_embed_dedup(spark):
