@@ -128,3 +128,18 @@ def substring_dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", tex
 
     met = texts.join(spans, ["d", "h"], "left").select("d", "text", "spans")
     return met.mapInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+
+
+#: For windows of 50 words.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50),
+k AS MATERIALIZED (SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h FROM p),
+f AS (SELECT h, min(doc_id) AS m FROM k GROUP BY h HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, p FROM k JOIN f USING (h) WHERE doc_id > m),
+x AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM r),
+c AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+y AS (SELECT c.doc_id, count(*) AS n_words, count(x.i) AS n_removed, coalesce(string_agg(c.word, ' ' ORDER BY c.i) FILTER (x.i IS NULL), '') AS kept
+      FROM c LEFT JOIN x ON x.doc_id = c.doc_id AND x.i = c.i GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)
+"""

@@ -174,3 +174,19 @@ def suffix_dedup(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_
 
     met = texts.join(spans, ["d", "h"], "left").select("d", "text", "spans")
     return met.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
+
+
+#: For strings of 400 bytes, in hexadecimal.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS t, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, t, unnest(range(0, n - 399)) AS p FROM d WHERE n >= 400),
+k AS MATERIALIZED (SELECT doc_id, p, md5(substring(t, 2 * p + 1, 800)) AS h FROM p),
+r AS (SELECT doc_id, p FROM k SEMI JOIN (SELECT h FROM k GROUP BY h HAVING count(*) > 1) USING (h)),
+e AS (SELECT doc_id, p, CASE WHEN p > max(p) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 400 THEN 1 ELSE 0 END AS fresh FROM r),
+s AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS s FROM e),
+g AS (SELECT doc_id, s, min(p) AS a, max(p) + 400 AS b FROM s GROUP BY 1, 2),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM g),
+y AS (SELECT q.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substring(t, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || substring(any_value(t), CAST(2 * max(b) + 1 AS BIGINT)) AS kept
+      FROM q JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, t))) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)
+"""
