@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -38,15 +39,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def threshold(prob: float) -> str:
+    """The 8 hexadecimal digits below which a 32-bit number stands for a draw below prob."""
+    return f"{math.ceil(prob * (1 << 32)):08x}"
+
+
 def random_words(text: Column, prob: float, seed: int, *key: Column) -> Column:
-    """text cut between characters p and p + 1 wherever draw(seed, key, p) < prob."""
-    inside = F.when(F.char_length(text) > 1, F.sequence(F.lit(1), F.char_length(text) - 1)).otherwise(F.array().cast("array<int>"))
-    cuts = F.filter(inside, lambda p: draw(seed, *key, p) < F.lit(prob)) if prob > 0 else F.array().cast("array<int>")
+    """text cut between characters p and p + 1 by a draw that seed, key and p fix. One MD5, of
+    seed|key|p div 4, gives the draws of four places: its p mod 4-th 8 digits."""
+    none = F.array().cast("array<int>")
+    n = F.char_length(text)
+
+    def chosen(hashes: Column) -> Column:
+        digits = lambda p: F.substr(F.get(hashes, (p / 4).cast("int")), p % 4 * 8 + 1, F.lit(8))
+        return F.filter(F.sequence(F.lit(1), n - 1), lambda p: digits(p) < F.lit(threshold(prob)))
 
     def cut(at: Column) -> Column:
-        spans = F.arrays_zip(F.concat(F.array(F.lit(0)), at).alias("a"), F.concat(at, F.array(F.char_length(text))).alias("b"))
+        spans = F.arrays_zip(F.concat(F.array(F.lit(0)), at).alias("a"), F.concat(at, F.array(n)).alias("b"))
         return let(chars(text), lambda c: F.transform(spans, lambda s: F.array_join(F.slice(c, s["a"] + 1, s["b"] - s["a"]), "")))
 
+    hashes = F.transform(F.sequence(F.lit(0), (n / 4).cast("int")), lambda b: F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key], b.cast("string")).cast("binary")))
+    cuts = F.when(n > 1, let(hashes, chosen)).otherwise(none) if prob > 0 else none
     return F.when(text == "", F.array().cast("array<string>")).when(text.isNotNull(), let(cuts, cut))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.segment import LongestMatchModel, segmenter, valid_prob
 from ..operators.tagging import BROADCAST_WORDS, PerceptronTaggerModel
+from .columns import threshold
 from .kernels import Perceptron, segment_greedy, tag_words
 
 
@@ -44,13 +45,15 @@ def register_segmenter(spark: SparkSession, model: LongestMatchModel) -> None:
 def register_random(spark: SparkSession, prob: float, seed: int = 0) -> None:
     """segment_random with this chance; the draws are those of random_words()."""
     valid_prob(prob)
+    below = threshold(prob)
 
     @F.pandas_udf("array<string>")
     def segment_random(key: pd.Series, text: pd.Series) -> pd.Series:
         def cut(k, t: str | None) -> list[str] | None:
             if not t:
                 return None if t is None else []
-            at = [p for p in range(1, len(t)) if int(hashlib.md5(f"{seed}|{k}|{p}".encode()).hexdigest()[:8], 16) / (1 << 32) < prob]
+            hashes = [hashlib.md5(f"{seed}|{k}|{b}".encode()).hexdigest() for b in range(len(t) // 4 + 1)]
+            at = [p for p in range(1, len(t)) if hashes[p // 4][p % 4 * 8 : p % 4 * 8 + 8] < below]
             return [t[a:b] for a, b in zip([0, *at], [*at, len(t)])]
 
         return pd.Series([cut(k, t) for k, t in zip(key, text)], dtype=object)

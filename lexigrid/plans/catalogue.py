@@ -272,7 +272,7 @@ _ALL = "SELECT doc_id, ln, pos, word FROM o"
 def _random_sql(prob: float) -> str:
     return f"""
 WITH {_LINES},
-d AS (SELECT doc_id, ln, text, list_filter(range(1, length(text)), lambda p: CAST('0x' || substring(md5('7|' || doc_id || '|' || ln || '|' || p), 1, 8) AS BIGINT) / 4294967296.0 < {prob}) AS c FROM l),
+d AS (SELECT doc_id, ln, text, list_filter(range(1, length(text)), lambda p: CAST('0x' || substring(md5('7|' || doc_id || '|' || ln || '|' || (p // 4)), 8 * (p % 4) + 1, 8) AS BIGINT) / 4294967296.0 < {prob}) AS c FROM l),
 e AS (SELECT doc_id, ln, text, list_concat([0], c) AS a, list_concat(c, [length(text)]) AS b FROM d)
 SELECT doc_id, ln, generate_subscripts(a, 1) - 1 AS pos, substring(text, unnest(a) + 1, unnest(b) - unnest(a)) AS word FROM e"""
 
