@@ -47,20 +47,21 @@ def threshold(prob: float) -> str:
 def random_words(text: Column, prob: float, seed: int, *key: Column) -> Column:
     """text cut between characters p and p + 1 by a draw that seed, key and p fix. One MD5, of
     seed|key|p div 4, gives the draws of four places: its p mod 4-th 8 digits."""
-    none = F.array().cast("array<int>")
+    if prob <= 0:
+        return F.when(text == "", F.array().cast("array<string>")).when(text.isNotNull(), F.array(text))
     n = F.char_length(text)
+    hashes = F.transform(F.sequence(F.lit(0), (n / 4).cast("int")), lambda b: F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key], b.cast("string")).cast("binary")))
 
-    def chosen(hashes: Column) -> Column:
-        digits = lambda p: F.substr(F.get(hashes, (p / 4).cast("int")), p % 4 * 8 + 1, F.lit(8))
-        return F.filter(F.sequence(F.lit(1), n - 1), lambda p: digits(p) < F.lit(threshold(prob)))
-
-    def cut(at: Column) -> Column:
-        spans = F.arrays_zip(F.concat(F.array(F.lit(0)), at).alias("a"), F.concat(at, F.array(n)).alias("b"))
-        return let(chars(text), lambda c: F.transform(spans, lambda s: F.array_join(F.slice(c, s["a"] + 1, s["b"] - s["a"]), "")))
+    def before(h: Column, p: Column) -> Column:
+        return F.substr(F.get(h, (p / 4).cast("int")), p % 4 * 8 + 1, F.lit(8)) < F.lit(threshold(prob))
 
-    hashes = F.transform(F.sequence(F.lit(0), (n / 4).cast("int")), lambda b: F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key], b.cast("string")).cast("binary")))
-    cuts = F.when(n > 1, let(hashes, chosen)).otherwise(none) if prob > 0 else none
-    return F.when(text == "", F.array().cast("array<string>")).when(text.isNotNull(), let(cuts, cut))
+    # one pass: a mark before each word, then a split; texts that hold the mark are cut by place
+    marked = let(hashes, lambda h: F.transform(chars(text), lambda c, i: F.when((i > 0) & before(h, i), F.concat(F.lit("\0"), c)).otherwise(c)))
+    cuts = F.when(n > 1, let(hashes, lambda h: F.filter(F.sequence(F.lit(1), n - 1), lambda p: before(h, p)))).otherwise(F.array().cast("array<int>"))
+    spans = lambda at: F.arrays_zip(F.concat(F.array(F.lit(0)), at).alias("a"), F.concat(at, F.array(n)).alias("b"))
+    placed = let(cuts, lambda at: F.transform(spans(at), lambda s: F.substr(text, s["a"] + 1, s["b"] - s["a"])))
+    words = F.when(F.instr(text, "\0") == 0, F.split(F.array_join(marked, ""), "\\x00", -1)).otherwise(placed)
+    return F.when(text == "", F.array().cast("array<string>")).when(text.isNotNull(), words)
 
 
 def round3(x: Column) -> Column:

@@ -13,7 +13,7 @@ from ..functions.columns import prefixes, random_words, round3
 from ..operators.segment import LongestMatch, LongestMatchModel
 from ..operators.sequences import SequenceSet
 from ..operators.tagging import PerceptronTagger, PerceptronTaggerModel, best_class, contexts, feature_columns, tag_counts, tag_dictionary
-from ..sources.corpus import documents, lines, tagged, tokens, words_of
+from ..sources.corpus import documents, lines, spread, tagged, tokens, words_of
 
 LONGEST = 6
 
@@ -24,7 +24,7 @@ def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations' turns as sentences of words."""
-    df = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    df = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text"))
     return df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), words_of(F.col("text")).alias("words"))
 
 

@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.columns import draw
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a table of one row group would be the
+    work of one. Tables that are scanned in enough parts are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(df.select(*columns) if columns else df.select("doc_id", "text", "lang"))
 
 
 def words_of(text: Column) -> Column:

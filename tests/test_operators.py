@@ -61,9 +61,9 @@ def test_segment_strategies_agree(spark):
 
 
 def test_random_segmenter(spark):
-    texts = spark.createDataFrame(list(enumerate(["hello world", "", "x", None, "日本語😀!" * 9])), "i int, text string")
+    texts = spark.createDataFrame(list(enumerate(["hello world", "", "x", None, "日本語😀!" * 9, "ab\0cd\0" * 5])), "i int, text string")
     same = RandomSegmenterTransformer(prob=0.0, keyCols=["i"]).transform(texts)
-    assert {r.i: r.words for r in same.collect()} == {0: ["hello world"], 1: [], 2: ["x"], 3: None, 4: ["日本語😀!" * 9]}
+    assert {r.i: r.words for r in same.collect()} == {0: ["hello world"], 1: [], 2: ["x"], 3: None, 4: ["日本語😀!" * 9], 5: ["ab\0cd\0" * 5]}
     cut = RandomSegmenterTransformer(prob=0.5, keyCols=["i"], seed=2)
     a = {r.i: r.words for r in cut.transform(texts).collect()}
     assert a == {r.i: r.words for r in cut.transform(texts.repartition(3)).collect()}
