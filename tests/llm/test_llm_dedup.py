@@ -131,6 +131,18 @@ def test_near_dedup(spark, small):
     assert all(r.n_links > 0 or r.class_id == r.set_id for r in out)
 
 
+@pytest.mark.parametrize("options", [{}, {"block": 1}])
+def test_large_buckets_link_members_of_different_leaders(spark, options):
+    """1 - 3 - 4 - 2 is a chain in one bucket; of 1 and 2, the first, neither is linked with both 3 and 4."""
+    starts = {1: 0, 3: 30, 4: 60, 2: 90}
+    docs = spark.createDataFrame([(d, " ".join(f"w{i}" for i in range(a, a + 102))) for d, a in starts.items()], "doc_id long, text string")
+    keys = spark.createDataFrame([(7, d, 100) for d in starts], "key long, node long, n long")
+    scratch = Scratch(spark, "test")
+    keys, docs = scratch.table(keys, "given"), scratch.table(docs, "docs")
+    found = minhash.linked(keys, docs, scratch, 0.6, 1.25, small=2, **options).collect()
+    assert sorted((r.x, r.y, r.both) for r in found) == [(1, 3, 70), (2, 4, 70), (3, 4, 70)]
+
+
 def test_banding_is_tuned_to_the_sizes():
     bounds = minhash.size_bounds(1.5)
     assert all(b > a for a, b in zip(bounds, bounds[1:]))
