@@ -143,6 +143,14 @@ def test_large_buckets_link_members_of_different_leaders(spark, options):
     assert sorted((r.x, r.y, r.both) for r in found) == [(1, 3, 70), (2, 4, 70), (3, 4, 70)]
 
 
+def test_links_of_a_large_group_are_all_counted(spark):
+    """40 near copies, no two equal, are more than SMALL in their buckets; each is linked with all others."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(d, " ".join([*base[: 4 * d], f"e{d}", *base[4 * d + 1 :]])) for d in range(40)]
+    out = minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in out} == {(d, 0, 39) for d in range(40)}
+
+
 def test_banding_is_tuned_to_the_sizes():
     bounds = minhash.size_bounds(1.5)
     assert all(b > a for a, b in zip(bounds, bounds[1:]))
