@@ -22,7 +22,8 @@ from lexigrid.llm.common import Scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; null text, and text without a letter, go."""
+    """Documents in which a language is found; null text, text without a letter, and text that is hardly more
+    of one language than of any other go."""
     return langid.keep_known(docs, langid.fit(docs))
 
 

@@ -259,17 +259,19 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     return d.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, probs array<double>")
 
 
-def keep_known(df: DataFrame, model: LanguageModel, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
+def keep_known(df: DataFrame, model: LanguageModel, min_score: float | None = None, text_col: str = "text") -> DataFrame:
     """df's rows, all columns, in whose text predict() finds a language with at least min_score; the
-    others go: `und`, and text that is hardly more of one language than of any other."""
+    others go: `und`, and text that is hardly more of one language than of any other. Without min_score,
+    that is under 1.2 times an even share of the model's languages, and never over 0.3."""
     at = df.columns.index(text_col)
+    least = min(0.3, 1.2 / max(1, len(model.langs))) if min_score is None else min_score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):
             texts = b.column(at)
             known = np.array([t is not None and LETTER.search(t) is not None for t in texts.to_pylist()])
             if model.langs:
-                known &= model.predict(*raw(texts)).max(axis=1) >= min_score
+                known &= model.predict(*raw(texts)).max(axis=1) >= least
             else:
                 known[:] = False
             yield b.filter(pa.array(known))

@@ -193,3 +193,23 @@ def test_anchors_depend_on_the_window_alone(monkeypatch):
         seen = {}
         for p, anchor in of.items():
             assert seen.setdefault(b" ".join(t.text(p, p + 20).split()), anchor) == anchor
+
+
+def test_keep_known_is_relative_to_the_number_of_languages(spark):
+    """Of 40 languages, 0.29 for one is clear; an even share of each isn't."""
+
+    class Model:
+        langs = [f"l{i}" for i in range(40)]
+
+        def predict(self, data, at):
+            import numpy as np
+
+            out = np.full((len(at) - 1, 40), 0.025)
+            for i, (a, b) in enumerate(zip(at, at[1:])):
+                if data[a:b] == b"clear":
+                    out[i], out[i, 3] = 0.71 / 39, 0.29
+            return out
+
+    docs = spark.createDataFrame([(1, "clear"), (2, "even"), (3, None), (4, "1 2")], "doc_id long, text string")
+    assert [r.doc_id for r in langid.keep_known(docs, Model()).collect()] == [1]
+    assert langid.keep_known(docs, Model(), min_score=0.3).count() == 0
