@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +21,38 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
+    """The folder in spark.checkpoint.dir. Only where that is unset and Spark runs in one process, as in
+    tests, a folder of our own; a cluster without a shared folder raises ValueError."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Spark removes the shuffle files of a query when it ends; a lost block still runs its stage again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries inside leave no shuffle files."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
     """Tables of one run in the shared folder. A table that is read again cuts the lineage and
-    outlives executors; shuffles that nothing refers to any more are released after each write."""
+    outlives executors; its shuffle files go when it is written."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -42,11 +63,9 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return the written table."""
-        df.write.parquet(self.path(name))
-        schema = df.schema
-        del df
-        self.release()
-        return self.spark.read.schema(schema).parquet(self.path(name))
+        with cleaned(self.spark):
+            df.write.parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
@@ -55,12 +74,6 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def release(self) -> None:
-        """Let Spark's cleaner see shuffles of finished steps, which it removes only when the
-        driver's heap is collected."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
 
 def text_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) alone, so no other column can clash; null text counts as empty."""
@@ -72,18 +85,24 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, rf"[\x09-\x0D][{SPACE}]*|\x20[{SPACE}]+", " ")
 
 
-#: Keys with at least a HOT-th of all rows: never more than HOT of them, so they may be broadcast.
+#: A key with at least a HOT-th of all rows is hot; on more than HOT / 4 shuffle partitions, one with a
+#: quarter of a partition's fair share. There are never more hot keys than that, so they may be broadcast.
 HOT = 512
 
 
+def hot_from(spark: SparkSession, total: int) -> int:
+    """Rows from which a key is hot among `total` rows."""
+    return max(2, -(-total // max(HOT, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+
 def lookup(rows: DataFrame, unique: DataFrame, keys: list[str], count: str, total: int, inner: bool = False) -> DataFrame:
     """rows left (or inner) join unique on keys, where unique has each key once and `count` says how
-    many rows have it. Keys that hold 1/HOT of all rows or more, at most HOT keys, are broadcast, so
-    that the shuffled join has no hot key left. Both tables are read twice: they should be written."""
+    many rows have it. Hot keys are broadcast, so that the shuffled join has none left. Both tables are
+    read twice: they should be written."""
     values = [c for c in unique.columns if c not in keys]
-    hot_from = max(2, -(-total // HOT))
-    hot = unique.where(F.col(count) >= hot_from).select(*keys, F.struct(*values).alias("_hot"))
-    rest = unique.where(F.col(count) < hot_from).select(*keys, F.struct(*values).alias("_rest"))
+    least = hot_from(rows.sparkSession, total)
+    hot = unique.where(F.col(count) >= least).select(*keys, F.struct(*values).alias("_hot"))
+    rest = unique.where(F.col(count) < least).select(*keys, F.struct(*values).alias("_rest"))
     met = rows.join(F.broadcast(hot), keys, "left")
     own = met.where(F.col("_hot").isNotNull()).withColumn("_v", F.col("_hot"))
     other = met.where(F.col("_hot").isNull()).join(rest, keys, "inner" if inner else "left").withColumn("_v", F.col("_rest"))

@@ -10,12 +10,13 @@ Arrays are laid out as (features, sequences), so every step works on whole rows.
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +24,10 @@ from .common import raw, slices
 
 UND = "und"
 STRETCH = 128
-#: Bounds of the training sample: documents of each language, characters of each, languages (the most
-#: frequent ones).
-PER_LANG, SAMPLE_CHARS, MAX_LANGS = 400, 600, 64
-LETTER = re.compile(r"[^\W\d_]")
+#: Bounds of the training sample: documents of each language, characters of each, documents in all.
+PER_LANG, SAMPLE_CHARS, SAMPLE_DOCS = 400, 600, 40_000
+#: Unicode's letters; numbers such as those of "²½Ⅷ①" aren't.
+LETTER = regex.compile(r"\p{L}")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -88,6 +89,7 @@ class LanguageModel:
             p = self.v[:, :k] @ states[t]
             p += self.v[:, k:] @ h
             p += self.b
+            p -= p.max(axis=0)
             np.exp(p, out=p)
             p /= p.sum(axis=0)
             if t >= ragged:
@@ -116,11 +118,14 @@ class LanguageModel:
         return out / np.maximum(size, 1)[:, None]
 
 
-def train(texts: list[bytes], labels: list[str], hidden: int = 6, steps: int = 220, batch: int = 160, stretch: int = 80, rate: float = 0.02, seed: int = 0) -> LanguageModel:
-    """Fit by backpropagation through time with Adam; every position of a stretch is labelled."""
+def train(texts: list[bytes], labels: list[str], hidden: int | None = None, steps: int | None = None, batch: int = 160, stretch: int = 80, rate: float = 0.02, seed: int = 0) -> LanguageModel:
+    """Fit by backpropagation through time with Adam; every position of a stretch is labelled. By default
+    the states' size and the steps follow the number of languages: 6 and 220 for up to four."""
     rng = np.random.default_rng(seed)
     langs = sorted(set(labels))
-    c, k = len(langs), hidden
+    c = len(langs)
+    k = hidden or max(6, math.ceil(2 * math.sqrt(c)))
+    steps = steps or max(220, 15 * c)
     texts, labels = zip(*[(t, label) for t, label in zip(texts, labels) if t]) if any(texts) else ((), ())
     p = {
         "x0": rng.normal(0, 0.3, (3 * k, 256)), "u0": rng.normal(0, 0.3, (3 * k, k)),
@@ -205,16 +210,19 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, chars: int, max_langs: int) -> list[tuple[str, str]]:
-    """(language, part of a text) of about per_lang learnable documents of each of the most frequent
-    languages, chosen by a hash of the id; `chars` characters from a place given by it."""
+def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, chars: int, most: int) -> list[tuple[str, str]]:
+    """(language, part of a text) of about per_lang learnable documents of each language, or as many as
+    `most` documents in all leave it, chosen by a hash of the id; `chars` characters from a place given by it."""
     d = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     d = d.where(~held_out("i") & F.col("i").isNotNull() & F.col("l").isNotNull() & F.col("t").isNotNull())
-    counts = d.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()
+    counts = d.groupBy("l").count().limit(most + 1).collect()
     if not counts:
         return []
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages, the most documents that are learned from")
+    per_lang = min(per_lang, most // len(counts))
     draw = F.pmod(F.xxhash64("i"), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], int((1 << 30) * min(1.0, 1.3 * per_lang / r["count"])))])
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], int((1 << 30) * min(1.0, 1.3 * (per_lang + 10) / r["count"])))])
     at = F.pmod(F.xxhash64("i", F.lit(1)), F.greatest(F.length("t") - chars, F.lit(1))).cast("int") + 1
     rows = d.where(draw < share[F.col("l")]).select("l", draw.alias("draw"), "i", F.substr("t", at, F.lit(chars)).alias("part")).collect()
     taken: dict[str, int] = {}
@@ -226,11 +234,12 @@ def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: i
     return out
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, chars: int = SAMPLE_CHARS, max_langs: int = MAX_LANGS, **options) -> LanguageModel:
-    """A model from a bounded sample: at most per_lang documents of each of at most max_langs
-    languages, `chars` characters of each. Null ids, texts and labels, and held-out documents, are
-    never learned from. Without any label the model knows no language and predicts `und`."""
-    got = sample(df, id_col, text_col, lang_col, per_lang, chars, max_langs)
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, chars: int = SAMPLE_CHARS, most: int = SAMPLE_DOCS, **options) -> LanguageModel:
+    """A model of every language of the labels, from a bounded sample: at most per_lang documents of each
+    and `most` in all, `chars` characters of each. Null ids, texts and labels, and held-out documents, are
+    never learned from. Without any label the model knows no language and predicts `und`; more languages
+    than `most` raise ValueError."""
+    got = sample(df, id_col, text_col, lang_col, per_lang, chars, most)
     return train([t.encode() for _, t in got], [lang for lang, _ in got], **options)
 
 

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch
+from .common import SPACE, Scratch, lookup
 
 #: Documents of a block, about.
 BLOCK = 4096
@@ -60,24 +60,38 @@ def exponent(sources: DataFrame, target_entropy: float, max_repeats: float, budg
     return a, z, spent(a, z)
 
 
+def counted(text: Column, tokens: Column | None) -> Column:
+    return (words(text) if tokens is None else F.coalesce(tokens, F.lit(0))).cast("long")
+
+
+def sourced(source: Column) -> Column:
+    return F.coalesce(source.cast("string"), F.lit(""))
+
+
+def placing(doc_id: Column, text: Column, seed: int) -> Column:
+    """What places a row in its source's permutation: a hash of its id, or of its text where that is null."""
+    own = F.coalesce(doc_id.cast("long").cast("string"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary"))
+
+
 def mixture(df: DataFrame, target_entropy: float = 0.95, max_repeats: float = 4.0, budget: int | None = None, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tokens: Column | None = None, block: int = BLOCK) -> DataFrame:
     """One row per row of df: doc_id, source, n_tokens, weight, quota (tokens for its source), block,
     repeats (how often the document is used).
 
     budget: tokens of the whole mixture; by default the least that uses every document at least
     once. Null sources count as the source ''. A source without tokens has weight 0 and its
-    documents are used once. Rows that repeat a doc_id are drawn separately, in order of tokens.
-    `tokens` replaces the count of words.
+    documents are used once. Rows that repeat a doc_id are drawn in order of tokens; those with as many
+    are drawn together, as often as there is room for all of them. Rows with a null doc_id are placed by
+    a hash of their text. `tokens` replaces the count of words.
     """
+    return draw(df, target_entropy, max_repeats, budget, seed, id_col, source_col, text_col, tokens, block).drop("key")
+
+
+def draw(df: DataFrame, target_entropy: float, max_repeats: float, budget: int | None, seed: int, id_col: str, source_col: str, text_col: str, tokens: Column | None, block: int) -> DataFrame:
+    """mixture() with the rows' keys."""
     scratch = Scratch(df.sparkSession, "mix")
-    sized = scratch.table(
-        df.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-            (words(F.col(text_col)) if tokens is None else F.coalesce(tokens, F.lit(0))).cast("long").alias("n_tokens"),
-        ).withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))),
-        "sized",
-    )
+    text = F.col(text_col)
+    sized = scratch.table(df.select(F.col(id_col).cast("long").alias("doc_id"), sourced(F.col(source_col)).alias("source"), counted(text, tokens).alias("n_tokens"), placing(F.col(id_col), text, seed).alias("key")), "sized")
     sources = scratch.table(sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "sources")
     a, z, spent = exponent(sources, target_entropy, max_repeats, budget)
     total = sources.agg(F.sum("tokens")).first()[0] or 0
@@ -90,40 +104,36 @@ def mixture(df: DataFrame, target_entropy: float = 0.95, max_repeats: float = 4.
         .withColumn("passes", passes)
         .withColumn("rest", F.when(F.col("tokens") > 0, F.col("quota") - F.col("passes") * F.col("tokens")).otherwise(F.lit(-1)))
         .withColumn("blocks", F.ceil(F.col("docs") / F.lit(block)).cast("long"))
-        .drop("tokens", "docs")
+        .drop("tokens")
     )
     planned = scratch.table(planned, "planned")
     where = F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("double") * F.col("blocks") / F.lit(float(1 << 28))).cast("long")
-    placed = scratch.table(place(sized, planned).withColumn("block", where).drop("blocks"), "placed")
+    placed = scratch.table(lookup(sized, planned, ["source"], "docs", max(1, sized.count()), inner=True).withColumn("block", where).drop("blocks", "docs"), "placed")
     totals = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("inside"))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("source", "block", F.coalesce(F.sum("inside").over(before), F.lit(0)).alias("before"))
-    order = Window.partitionBy("source", "block").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source", "block").orderBy("key", "doc_id", "n_tokens").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     drawn = placed.withColumn("within", F.sum("n_tokens").over(order)).join(base, ["source", "block"])
-    return drawn.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "quota", "block", (F.col("passes") + (F.col("before") + F.col("within") <= F.col("rest")).cast("long")).alias("repeats"))
-
-
-def place(sized: DataFrame, planned: DataFrame) -> DataFrame:
-    """sized with its source's row of planned. The rows of a source are spread over salts, to each
-    of which the table of sources, one small row per source, is copied."""
-    salts = 16
-    salt = F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")
-    copies = planned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return sized.withColumn("salt", salt).join(copies, ["source", "salt"]).drop("salt")
+    return drawn.select("key", "doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "quota", "block", (F.col("passes") + (F.col("before") + F.col("within") <= F.col("rest")).cast("long")).alias("repeats"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """df's rows, all columns, each as often as mixture() draws its document."""
-    drawn = mixture(df, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("repeats").alias("_repeats"))
-    met = df.join(drawn, df[id_col].cast("long").eqNullSafe(drawn["_id"])).where("_repeats > 0")
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("_repeats").cast("int"))).alias("_copy")
-    return met.select(*[df[c] for c in df.columns], copies).drop("_copy")
+def mix(df: DataFrame, target_entropy: float = 0.95, max_repeats: float = 4.0, budget: int | None = None, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tokens: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """df's rows, all columns, each as often as mixture() draws it. df is read more than once."""
+    own = {"_mix_key": placing(F.col(id_col), F.col(text_col), seed), "_mix_source": sourced(F.col(source_col)), "_mix_tokens": counted(F.col(text_col), tokens)}
+    drawn = draw(df, target_entropy, max_repeats, budget, seed, id_col, source_col, text_col, tokens, block)
+    # rows that agree in these three are drawn alike
+    drawn = drawn.groupBy(F.col("key").alias("_mix_key"), F.col("source").alias("_mix_source"), F.col("n_tokens").alias("_mix_tokens")).agg(F.max("repeats").alias("_mix_repeats"), F.count(F.lit(1)).alias("_mix_rows"))
+    drawn = Scratch(df.sparkSession, "mixed").table(drawn, "drawn")
+    total = drawn.agg(F.sum("_mix_rows")).first()[0] or 1
+    met = lookup(df.withColumns(own), drawn, [*own], "_mix_rows", total, inner=True).where("_mix_repeats > 0")
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("_mix_repeats").cast("int"))).alias("_mix_copy")
+    return met.select(*df.columns, copies).drop("_mix_copy")
 
 
 ORACLE_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
-         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS key FROM documents),
 s AS (SELECT source, sum(n_tokens) AS tokens, count(*) AS docs FROM d GROUP BY 1),
 p AS (SELECT tokens / (SELECT sum(tokens) FROM s) AS p FROM s WHERE tokens > 0),
 b(i, lo, hi) AS (
@@ -145,6 +155,6 @@ m AS (SELECT d.*, weight, quota, CASE WHEN tokens > 0 THEN quota // tokens ELSE
         CAST(floor(CAST(CAST('0x' || substring(key, 1, 7) AS BIGINT) AS DOUBLE) * blocks / 268435456.0) AS BIGINT) AS block
       FROM d JOIN q USING (source))
 SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, quota, block,
-  CAST(passes + CASE WHEN sum(n_tokens) OVER (PARTITION BY source ORDER BY block, key, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS BIGINT) AS repeats
+  CAST(passes + CASE WHEN sum(n_tokens) OVER (PARTITION BY source ORDER BY block, key, doc_id, n_tokens RANGE UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS BIGINT) AS repeats
 FROM m
 """

@@ -3,16 +3,19 @@
 For BPE files of the sentencepiece library. A text gets the leading space and visible spaces that the
 model's normaliser asks for; it is split where no piece of the vocabulary spans two characters. The
 distinct pre-tokens that a worker hasn't met are laid in one flat array of symbols with the place
-where each sequence begins. In each round every sequence looks up the ranks of its pairs, takes the
-lowest (of equals the leftmost) and merges it, all sequences at once; finished ones leave. What
-survives is counted: one token for a piece, the UTF-8 length for a character that the vocabulary
-hasn't (byte fallback).
+where each sequence begins. In each round every sequence looks up the ranks of its pairs and merges all
+occurrences of its lowest, from left to right, all sequences at once; finished ones leave. Where a merge
+makes a pair of a rank as low, that pair comes next, and the rest of its sequence waits. What survives is counted: one token for a piece, the UTF-8 length for a character
+that the vocabulary hasn't (byte fallback).
+
+Pre-tokens of many characters, as of texts without spaces, are split further between characters that
+no piece holds next to each other.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
+from collections import Counter as Counts
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +26,8 @@ from pyspark.sql import functions as F
 from .common import slices, text_bytes
 
 SPACE_SIGN = "▁"
-#: Pre-tokens that a worker remembers, and the most characters of one that is merged in the arrays;
-#: longer ones are merged with a heap, by the same order, so that one long run costs n log n.
-MEMO, LONG = 500_000, 256
+#: Pre-tokens that a worker remembers; characters of those that are remembered and not split further.
+MEMO, LONG = 500_000, 48
 NONE = np.iinfo(np.int64).max
 
 
@@ -82,14 +84,20 @@ class Counter:
             for k in range(1, len(p)):
                 if p[:k] in ids and p[k:] in ids:
                     merges[ids[p[:k]], ids[p[k:]]] = (order[p], ids[p])
-        self.merges = merges
         keys = np.array([(a << 32) | b for a, b in merges], np.int64)
         at = np.argsort(keys)
         self.keys, self.rank, self.new = keys[at], np.array([r for r, _ in merges.values()], np.int64)[at], np.array([n for _, n in merges.values()], np.int64)[at]
+        # a piece that takes part in a merge of no higher rank than the one that makes it
+        least: dict[int, int] = {}
+        for pair, (r, _) in merges.items():
+            for x in pair:
+                least[x] = min(r, least.get(x, r))
+        self.safe = np.array([self_r < least.get(n, NONE) for self_r, n in zip(self.rank.tolist(), self.new.tolist())], bool)
         # splits: before a run of spaces that follows another character, and around characters that no longer piece has
         joined = {c for p in ids if len(p) > 1 for c in p}
         if any(SPACE_SIGN in p.lstrip(SPACE_SIGN) for p in ids):
             raise ValueError(f"{path}: a piece has a space inside")
+        self.joined = {p[i : i + 2] for p in ids for i in range(len(p) - 1)}
         alone = "".join(re.escape(c) for c in map(chr, range(32)) if c not in joined)
         self.split = re.compile(f"[{alone}]| *[^{alone} {SPACE_SIGN}]+| +|{SPACE_SIGN}")
         self.own_sign = re.compile(f"[ {SPACE_SIGN}]*[^{alone} {SPACE_SIGN}]+|[ {SPACE_SIGN}]+|[{alone}]")
@@ -103,6 +111,12 @@ class Counter:
             return self.own_sign.findall(self.prefix + text)
         return self.split.findall(self.prefix + text)
 
+    def fragments(self, word: str) -> list[str]:
+        """A pre-token cut wherever no piece holds the two characters."""
+        w, joined = word.replace(" ", SPACE_SIGN), self.joined
+        at = [0, *(i for i in range(1, len(w)) if w[i - 1 : i + 1] not in joined), len(w)]
+        return [w[a:b] for a, b in zip(at, at[1:])]
+
     def count(self, texts: list[str]) -> list[int]:
         parts = [*map(self.pretokens, texts)]
         memo = self.memo
@@ -111,9 +125,15 @@ class Counter:
             memo.clear()
             new = {*()}.union(*parts)
         short = [w for w in new if len(w) <= LONG]
-        memo.update(zip(short, self._synchronous(short)))
-        memo.update((w, self._heap(w)) for w in new if len(w) > LONG)
+        memo.update(zip(short, self._synchronous(short).tolist()))
+        for w in new:
+            if len(w) > LONG:
+                cut = Counts(self.fragments(w))
+                memo[w] = int(self._synchronous([*cut]) @ np.array([*cut.values()]))
         out = [sum(map(memo.__getitem__, p)) for p in parts]
+        for w in new:
+            if len(w) > LONG:
+                del memo[w]
         if len(memo) > self.size:
             memo.clear()
         return out
@@ -124,10 +144,29 @@ class Counter:
         return [char[c] if c in char else -len(c.encode()) for c in word.replace(" ", SPACE_SIGN)]
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, index of the merge) of each pair."""
         key = (left << 32) | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(hit, self.rank[at], NONE), self.new[at]
+        return np.where(hit, self.rank[at], NONE), at
+
+    def _in_order(self, sym: np.ndarray, seq: np.ndarray, at: np.ndarray, merge: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Of pairs of equal rank that are merged from left to right, those up to the first of each sequence
+        whose merge makes a pair of no higher rank, which comes before the others."""
+        risky = np.flatnonzero(~self.safe[merge])
+        early = np.zeros(len(at), bool)
+        if not len(risky):
+            return ~early
+        made, n = self.new[merge], len(sym)
+        here = at[risky]
+        right, left = np.minimum(here + 2, n - 1), np.maximum(here - 1, 0)
+        after = np.where((here + 2 < n) & (seq[right] == seq[here]), sym[right], -1)
+        joined = np.append(False, at[1:] == at[:-1] + 2)[risky]
+        before = np.where(joined, made[risky - 1], np.where((here > 0) & (seq[left] == seq[here]), sym[left], -1))
+        early[risky] = np.minimum(self._ranks(made[risky], after)[0], self._ranks(before, made[risky])[0]) <= rank[risky]
+        passed = np.cumsum(early) - early
+        own = np.append(True, seq[at[1:]] != seq[at[:-1]])
+        return passed == passed[own][np.cumsum(own) - 1]
 
     def _synchronous(self, words: list[str]) -> np.ndarray:
         counts = np.zeros(len(words), np.int64)
@@ -137,45 +176,35 @@ class Counter:
         size = np.array([*map(len, symbols)])
         sym = np.array([s for w in symbols for s in w], np.int64)
         seq = np.repeat(np.arange(len(words)), size)
+        rank, merge = self._pairs(sym, seq, np.arange(len(sym)))
         while len(sym):
-            same = np.append(seq[1:] == seq[:-1], False)
-            rank, new = self._ranks(sym, np.append(sym[1:], -1))
-            rank[~same] = NONE
             begin = np.flatnonzero(np.append(True, seq[1:] != seq[:-1]))
             low = np.minimum.reduceat(rank, begin)
-            length = np.diff(np.append(begin, len(sym)))
-            low_each = np.repeat(low, length)
-            done = low_each == NONE
-            if done.any():
-                counts += np.bincount(seq[done], np.where(sym[done] < 0, -sym[done], 1), len(words)).astype(np.int64)
-            at = np.flatnonzero((rank == low_each) & ~done)
-            first = at[np.append(True, seq[at[1:]] != seq[at[:-1]])] if len(at) else at
-            sym[first] = new[first]
-            keep = ~done
-            keep[first + 1] = False
-            sym, seq = sym[keep], seq[keep]
+            low_each = np.repeat(low, np.diff(np.append(begin, len(sym))))
+            at = np.flatnonzero((rank == low_each) & (rank != NONE))
+            keep = np.ones(len(sym), bool)
+            if (low == NONE).any():
+                keep = low_each != NONE
+                counts += np.bincount(seq[~keep], np.where(sym[~keep] < 0, -sym[~keep], 1), len(words)).astype(np.int64)
+            if len(at):
+                run = np.append(True, at[1:] != at[:-1] + 1)
+                nth = np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]
+                at = at[nth % 2 == 0]  # of overlapping pairs every other one
+                at = at[self._in_order(sym, seq, at, merge[at], rank[at])]
+                sym[at] = self.new[merge[at]]
+                keep[at + 1] = False
+            now = np.cumsum(keep)[at] - 1
+            sym, seq, rank, merge = sym[keep], seq[keep], rank[keep], merge[keep]
+            new = np.concatenate([now, now[now > 0] - 1])  # only the pairs of merged symbols are others
+            rank[new], merge[new] = self._pairs(sym, seq, new)
         return counts
 
-    def _heap(self, word: str) -> int:
-        """The same count with a heap of pairs by (rank, place)."""
-        sym = self._symbols(word)
-        n = len(sym)
-        nxt, prv, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
-        get = self.merges.get
-        heap = [(m[0], i, sym[i], sym[i + 1], m[1]) for i in range(n - 1) if (m := get((sym[i], sym[i + 1])))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, new = heapq.heappop(heap)
-            j = nxt[i]
-            if not alive[i] or sym[i] != a or j < 0 or sym[j] != b:
-                continue
-            sym[i], alive[j], nxt[i] = new, False, nxt[j]
-            if nxt[j] >= 0:
-                prv[nxt[j]] = i
-            for left, right in ((prv[i], i), (i, nxt[i])):
-                if left >= 0 and right >= 0 and (m := get((sym[left], sym[right]))):
-                    heapq.heappush(heap, (m[0], left, sym[left], sym[right], m[1]))
-        return sum((-s if s < 0 else 1) for s, on in zip(sym, alive) if on)
+    def _pairs(self, sym: np.ndarray, seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_ranks() of the pairs that begin at these places; NONE at a sequence's end."""
+        right = np.minimum(at + 1, max(0, len(sym) - 1))
+        rank, merge = self._ranks(sym[at], sym[right])
+        rank[(right == at) | (seq[right] != seq[at])] = NONE
+        return rank, merge
 
 
 _counters: dict[str, Counter] = {}

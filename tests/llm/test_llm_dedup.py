@@ -69,9 +69,12 @@ def test_empty_tables(spark):
     assert mixing.mixture(none.withColumn("source", none.key)).count() == 0
 
 
-def test_exact_dedup(spark):
-    rows = [*passages(2), (300, "A  b\t c"), (301, "A b c"), (302, " A b c"), (303, "A b c")]
-    out = exact_dedup.exact_dedup(frame(spark, rows), capacity=4, bits=6).collect()
+@pytest.mark.parametrize("key_bits", [64, 3])
+def test_exact_dedup(spark, key_bits):
+    """With keys of 3 bits nearly all texts share one with others, so only the comparison in chains parts them."""
+    rows = [*passages(2), (300, "A  b\t c"), (301, "A b c"), (302, " A b c"), (303, "A b c"), (304, "A b c\x00"), (305, "é" * 70_000), (306, "é" * 70_000)]
+    rows = rows if key_bits == 64 else rows[:9] + rows[-7:]
+    out = exact_dedup.exact_dedup(frame(spark, rows), capacity=4, key_bits=key_bits).collect()
     groups = {}
     for d, t in rows:
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append(d)
@@ -80,17 +83,31 @@ def test_exact_dedup(spark):
         keep = min((i for i in ids if i is not None), default=None)
         expected += [(d, keep, len(ids), d == keep, hashlib.sha256(t.encode()).hexdigest()) for d in ids]
     assert sorted(map(repr, ((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in out))) == sorted(map(repr, expected))
-    assert len({r.bucket for r in out}) > 4
+    assert len({r.bucket for r in out}) > (4 if key_bits == 64 else 1)
     kept = exact_dedup.keep_first(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "n", "key", "d"]
     assert {r.doc_id for r in kept.collect()} - {None} == {k for _, k, *_ in expected} - {None}
 
 
-def test_directory_splits_and_doubles():
-    slots = exact_dedup.directory({0: 9, 1: 9, 8: 1}, capacity=10, bits=4)
-    assert slots[0] == (0, 4) and slots[1] == (1, 4) and slots[2] == (2, 3) and slots[8] == slots[15] == (8, 1)
-    assert exact_dedup.directory({}, 1, 3) == [(0, 0)] * 8
-    assert exact_dedup.directory({5: 100}, 10, 3)[5] == (5, 3)
+def test_chains_decide(spark, monkeypatch):
+    """Were the texts of a key not compared, all of them would be one group."""
+    rows = spark.createDataFrame([(i, f"t{i % 5}") for i in range(20)], "doc_id long, text string")
+    assert {r.group_size for r in exact_dedup.exact_dedup(rows, key_bits=1).collect()} == {4}
+    monkeypatch.setattr(exact_dedup, "chains", lambda texts, several, scratch: several.selectExpr("bucket", "depth", "key", "1 as chain", "'' as text_sha256", "keep_id", "group_size"))
+    assert {r.group_size for r in exact_dedup.exact_dedup(rows, key_bits=1).collect()} != {4}
+
+
+def test_directory_splits_overfull_buckets(spark):
+    top = lambda *bits: (int("".join(map(str, bits)).ljust(64, "0"), 2) + (1 << 63)) % (1 << 64) - (1 << 63)
+    some = [top(0, 0, 0, 0) + i for i in range(3)] + [top(0, 0, 0, 1) + i for i in range(3)] + [top(0, 1), top(1, 0), top(1, 1)]
+    keys = spark.createDataFrame([(k,) for k in some], "key long")
+    book, bits = exact_dedup.directory(keys, Scratch(spark, "test"), capacity=4)
+    got = {r.key: (r.bucket >> (bits - 4), r.depth) for r in exact_dedup.in_bucket(keys, book, bits).collect()}
+    assert len(got) == len(some) and got[some[0]] == (0, 4) and got[some[3]] == (1, 4) and got[top(0, 1)] == (4, 2) and got[top(1, 0)] == got[top(1, 1)] == (8, 1)
+    book, bits = exact_dedup.directory(spark.createDataFrame([(top(1) + i,) for i in range(40)], "key long"), Scratch(spark, "test"), capacity=1)
+    assert bits == 62 and book.count() == 10  # keys that agree in so many bits share a cell
+    book, _ = exact_dedup.directory(keys.limit(0), Scratch(spark, "test"))
+    assert book.count() == 0
 
 
 def plain_classes(texts, threshold, ratio):
@@ -218,7 +235,19 @@ def test_mixture(spark):
     few = mixing.mixture(df, budget=500).collect()
     assert sum(r.repeats * r.n_tokens for r in few) <= 502 and min(r.repeats for r in few) == 0
     kept = mixing.mix(df)
-    assert kept.columns == df.columns and kept.count() >= len(rows)
+    assert kept.columns == df.columns and kept.count() == sum(r.repeats for r in out)
+
+
+def test_mix_keeps_to_its_budget_with_repeated_and_null_ids(spark):
+    rows = [(7 if i % 2 else None, f"{i} " * (1 + i % 5), "a" if i % 3 else "b", i, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_tokens int, key int")
+    for budget in (100, 700, 2500):
+        drawn = mixing.mixture(df, budget=budget).collect()
+        mixed = mixing.mix(df, budget=budget).collect()
+        assert sum(r.n_tokens * r.repeats for r in drawn) == sum(len(r.text.split()) for r in mixed) <= budget + 1
+    assert mixing.mix(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "w " * 400_000, "a"), (2, "w", "b"), (3, None, None)], "doc_id long, text string, source string")
+    assert {r.doc_id: r.n_tokens for r in mixing.mixture(long).collect()} == {1: 400_000, 2: 1, 3: 0}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))

@@ -59,9 +59,32 @@ def test_counter_equals_the_library():
     texts = strings(2500, seed=1)
     assert own.count(texts) == [len(x) for x in lib.encode(texts)]
     rng = random.Random(2)
-    for _ in range(60):
-        w = "".join(rng.choice("abcdeéinthst日") for _ in range(rng.randint(1, 300)))
-        assert own._heap(w) == own._synchronous([w])[0]
+    long = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 700))) for letters in ("abcdeéinthst日", ["in", "the", "re", "st", "ation", "a"], "日本的一是不") for _ in range(60)]
+    assert own.count(long) == [len(x) for x in lib.encode(long)]
+
+
+def test_merges_wait_for_pairs_that_come_first():
+    """A made piece may take part in a merge of a lower rank, which then comes before its pair's other places."""
+
+    class Toy(token_count.Counter):
+        def __init__(self):
+            a, b, ab, aba, abab = range(5)
+            merges = {(a, b): (5, ab), (ab, a): (3, aba), (ab, ab): (1, abab), (aba, b): (9, abab)}
+            at = sorted(merges)
+            self.keys, self.rank, self.new = (np.array(x, np.int64) for x in ([(p << 32) | q for p, q in at], [merges[p][0] for p in at], [merges[p][1] for p in at]))
+            self.safe, self.char = np.array([False, True, True, True]), {"a": a, "b": b}
+            self.table = merges
+
+        def plain(self, word):
+            s = [self.char[c] for c in word]
+            while found := [(self.table[p][0], i) for i, p in enumerate(zip(s, s[1:])) if p in self.table]:
+                _, i = min(found)
+                s[i : i + 2] = [self.table[s[i], s[i + 1]][1]]
+            return len(s)
+
+    toy, rng = Toy(), random.Random(5)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 30))) for _ in range(300)] + ["abab" * 9]
+    assert toy._synchronous(words).tolist() == [toy.plain(w) for w in words]
 
 
 def test_count_operator(spark, docs):
@@ -152,6 +175,53 @@ def test_backpropagation_equals_differences():
         assert abs((up - down) / 2e-4 - grad[name][i]) < 1e-6
 
 
+def plain_probabilities(m, text):
+    """The network straight from its definition, one byte after another."""
+    k = m.forward.u.shape[1]
+    s = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(cell, data):
+        h, out = np.zeros(k), []
+        for byte in data:
+            x, a = cell.x[:, byte].astype(float), cell.u.astype(float) @ h
+            z, r = s(x[:k] + a[:k]), s(x[k : 2 * k] + a[k : 2 * k])
+            n = np.tanh(x[2 * k :] + r * a[2 * k :])
+            h = z * h + (1 - z) * n
+            out.append(h)
+        return out
+
+    total = np.zeros(len(m.langs))
+    for i in range(0, len(text), langid.STRETCH):
+        part = text[i : i + langid.STRETCH]
+        for f, b in zip(states(m.forward, part), states(m.backward, part[::-1])[::-1]):
+            p = np.exp(m.v.astype(float) @ np.r_[f, b] + m.b[:, 0])
+            total += p / p.sum()
+    return total / len(text)
+
+
+def test_predictions_equal_a_plain_forward_pass():
+    m = langid.train([b"aaaa bbb", b"xyxy zz", b"qqq"] * 3, ["a", "x", "q"], steps=30, batch=16, stretch=8)
+    texts = [b"aab", b"zz xy" * 60, b"q", bytes(range(256))]
+    got = m.predict(b"".join(texts), np.cumsum([0, *map(len, texts)]))
+    for p, t in zip(got, texts):
+        assert np.allclose(p, plain_probabilities(m, t), atol=1e-4)
+    m.b[:] = [[5e4], [0], [-5e4]]
+    sure = m.predict(b"abc", np.array([0, 3]))[0]
+    assert np.allclose(sure, [1, 0, 0])
+
+
+def test_all_languages_are_learned_and_numbers_are_no_letters(spark):
+    rng = random.Random(0)
+    rows = [(i, "".join(chr(0x4E00 + 40 * (i % 70) + rng.randrange(6)) for _ in range(40)), f"l{i % 70:02d}") for i in range(70 * 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, steps=25)
+    assert len(model.langs) == 70 and model.forward.u.shape[1] > 6
+    odd = spark.createDataFrame([(1, "²½Ⅷ①"), (2, "²½Ⅷ①ª"), (3, "_"), (4, "๑๒")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.predict(odd, model).orderBy("doc_id").collect()] == [True, False, True, True]
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(df, most=60)
+
+
 def test_prediction_is_over_whole_texts():
     m = langid.train([b"aaaa bbb", b"xyxy zz"] * 3, ["a", "x"], steps=60, batch=16, stretch=8)
     texts = [b"", b"aab" * 300, b"xyz", b"a" * 129]
