@@ -16,12 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lookup, slices
-from .winnow import NO_ID, WordText, by_anchor, by_document, candidates, contexts, open_entries, runs, union_spans, windows, with_row
+from .common import Scratch, slices
+from .winnow import MANY, WordText, by_anchor, by_document, candidates, every_copy, resolved, runs, union_spans, unique_rows, with_row
 
-#: Words of an anchor's gram, at most, and entries of one anchor beyond which its windows are counted
-#: by Spark one by one and not gathered in a task.
-GRAM, MANY = 16, 20_000
+#: Words of an anchor's gram, at most.
+GRAM = 16
 
 
 def refine(classes: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -77,24 +76,9 @@ def repeated(found: DataFrame, length: int) -> DataFrame:
 def repeated_spans(texts: DataFrame, scratch: Scratch, length: int, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """(d, h, spans): runs of window starts that a document with a smaller id has too."""
     k = max(1, min(gram, length // 2))
-    records, entries = candidates(texts.where(F.col("d") != NO_ID), scratch, WordText, k, length, other_doc=True)
-    open_, total = open_entries(entries, scratch, single=False)
-    firsts = entries.select("g", "c", "copies", F.col("d").alias("least"))
-    # every copy of an entry: those in later documents go whole, the first document's wait for other entries
-    met = scratch.table(lookup(records, firsts, ["g", "c"], "copies", max(1, total), inner=True), "met")
-    known = met.where("d > least").select("d", "h", (F.col("a") - F.col("hi")).alias("first"), (F.col("a") - F.col("lo")).alias("last"))
-    parts = scratch.table(contexts(open_.where(F.col("several") <= many), texts, WordText, length), "contexts")
-    found = repeated(parts, length)
-    if not open_.where(F.col("several") > many).isEmpty():
-        one = scratch.table(windows(open_.where(F.col("several") > many), texts, WordText, length), "windows")
-        least = one.groupBy("g", "o", "w").agg(F.min("d").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        least = scratch.table(least, "least")
-        later = lookup(one, least, ["g", "o", "w"], "n", max(1, one.count()), inner=True).where("d > least")
-        found = found.unionByName(later.select("g", "c", F.col("o").cast("long").alias("o1"), F.col("o").cast("long").alias("o2")))
-    found = scratch.table(found, "found")
-    # the first document may hold an entry several times, but not a third of all rows
-    new = met.where("d = least").join(found, ["g", "c"]).select("d", "h", (F.col("a") - F.col("o2")).alias("first"), (F.col("a") - F.col("o1")).alias("last"))
-    return scratch.table(by_document(known.unionByName(new)), "spans")
+    records, entries = candidates(texts.where("id is not null"), scratch, WordText, k, length, other_doc=True)
+    found = resolved(records, entries, texts, scratch, WordText, length, lambda parts: repeated(parts, length), later=True, many=many)
+    return scratch.table(by_document(found.select("d", "h", (F.col("a") - F.col("hi")).alias("first"), (F.col("a") - F.col("lo")).alias("last"))), "spans")
 
 
 def substring_dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, many: int = MANY) -> DataFrame:
@@ -109,25 +93,25 @@ def substring_dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", tex
     if length < 2:
         raise ValueError("length must be at least 2")
     scratch = Scratch(df.sparkSession, "substring")
-    texts = with_row(df, id_col, text_col)
+    texts, repeats = unique_rows(with_row(df, id_col, text_col), scratch)
     spans = repeated_spans(texts, scratch, length, gram, many)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             out = []
-            for d, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for d, m, text, found in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
                 words = text.encode().split()
                 starts, ends = [], []
                 if found.is_valid:
                     first, last = (x.to_numpy() for x in found.values.flatten())
                     starts, ends = (x.tolist() for x in union_spans(first, last, length))
                 kept = [w for x, y in zip([0, *ends], [*starts, len(words)]) for w in words[x:y]] if starts else words
-                out.append((d if d != NO_ID else None, len(words), len(words) - len(kept), [{"start": x, "end": y} for x, y in zip(starts, ends)], b" ".join(kept).decode()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["doc_id", "n_words", "n_removed", "spans", "kept"])
+                out.append((m, d, len(words), len(words) - len(kept), [{"start": x, "end": y} for x, y in zip(starts, ends)], b" ".join(kept).decode()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["m", "doc_id", "n_words", "n_removed", "spans", "kept"])
 
-    met = texts.join(spans, ["d", "h"], "left").select("d", "text", "spans")
-    return met.mapInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+    met = texts.join(spans, ["d", "h"], "left").select("id", "m", "text", "spans")
+    return every_copy(met.mapInArrow(cut, "m long, doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string"), repeats)
 
 
 #: For windows of 50 words.

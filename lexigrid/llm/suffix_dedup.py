@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lookup, raw, slices
-from .winnow import NO_ID, ByteText, by_anchor, by_document, candidates, contexts, open_entries, runs, union_spans, windows, with_row
+from .common import Scratch, raw, slices
+from .winnow import MANY, ByteText, by_anchor, by_document, candidates, every_copy, resolved, runs, union_spans, unique_rows, with_row
 
-#: Bytes of an anchor's gram, at most; entries of one anchor beyond which its windows are counted by
-#: Spark one by one and not gathered in a task.
-GRAM, MANY = 48, 20_000
+#: Bytes of an anchor's gram, at most.
+GRAM = 48
 #: Difference covers: every residue mod V is a difference of two members.
 COVERS = {31: (1, 5, 11, 24, 25, 27), 21: (0, 1, 4, 14, 16), 13: (0, 1, 3, 9), 7: (0, 1, 3), 3: (0, 1), 1: (0,)}
 
@@ -123,24 +122,11 @@ def repeated(found: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, scratch: Scratch, length: int, gram: int = GRAM, many: int = MANY) -> DataFrame:
-    """(d, h, first, last): runs of window starts that occur elsewhere."""
+    """(d, h, spans): runs of window starts that occur elsewhere in distinct texts."""
     k = max(1, min(gram, length // 2))
     records, entries = candidates(texts, scratch, ByteText, k, length, other_doc=False)
-    open_, total = open_entries(entries, scratch, single=True)
-    copies = entries.where("copies > 1").select("g", "c", "copies")
-    known = lookup(records, copies, ["g", "c"], "copies", max(1, total), inner=True).select("d", "h", (F.col("a") - F.col("hi")).alias("first"), (F.col("a") - F.col("lo")).alias("last"))
-    parts = scratch.table(contexts(open_.where(F.col("several") <= many), texts, ByteText, length), "contexts")
-    found = repeated(parts, length)
-    if not open_.where(F.col("several") > many).isEmpty():
-        one = scratch.table(windows(open_.where(F.col("several") > many), texts, ByteText, length), "windows")
-        twice = one.groupBy("g", "o", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        twice = scratch.table(twice, "twice")
-        again = lookup(one.where("copies = 1"), twice, ["g", "o", "w"], "n", max(1, one.count()), inner=True)
-        found = found.unionByName(again.select("g", "c", F.col("o").cast("long").alias("o1"), F.col("o").cast("long").alias("o2")))
-    found = scratch.table(found, "found")
-    lone = entries.where("copies = 1").select("g", "c", "d", "h", "a")
-    new = found.join(lone, ["g", "c"]).select("d", "h", (F.col("a") - F.col("o2")).alias("first"), (F.col("a") - F.col("o1")).alias("last"))
-    return scratch.table(by_document(known.unionByName(new)), "spans")
+    found = resolved(records, entries, texts, scratch, ByteText, length, lambda parts: repeated(parts, length), later=False, many=many)
+    return scratch.table(by_document(found.select("d", "h", (F.col("a") - F.col("hi")).alias("first"), (F.col("a") - F.col("lo")).alias("last"))), "spans")
 
 
 def suffix_dedup(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, many: int = MANY) -> DataFrame:
@@ -155,25 +141,27 @@ def suffix_dedup(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_
     if length < 2:
         raise ValueError("length must be at least 2")
     scratch = Scratch(df.sparkSession, "suffix")
-    texts = with_row(df, id_col, text_col)
+    texts, repeats = unique_rows(with_row(df, id_col, text_col), scratch)
     spans = repeated_spans(texts, scratch, length, gram, many)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             out = []
-            for d, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for d, m, text, found in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
                 data = text.encode()
                 starts, ends = [], []
-                if found.is_valid:
+                if m > 1 and len(data) >= length:  # a row that is there twice goes whole
+                    starts, ends = [0], [len(data)]
+                elif found.is_valid:
                     first, last = (x.to_numpy() for x in found.values.flatten())
                     starts, ends = (x.tolist() for x in union_spans(first, last, length))
                 kept = b"".join(data[x:y] for x, y in zip([0, *ends], [*starts, len(data)]))
-                out.append((d if d != NO_ID else None, len(data), len(data) - len(kept), len(starts), [{"start": x, "end": y} for x, y in zip(starts, ends)], kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+                out.append((m, d, len(data), len(data) - len(kept), len(starts), [{"start": x, "end": y} for x, y in zip(starts, ends)], kept))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["m", "doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    met = texts.join(spans, ["d", "h"], "left").select("d", "text", "spans")
-    return met.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
+    met = texts.join(spans, ["d", "h"], "left").select("id", "m", "text", "spans")
+    return every_copy(met.mapInArrow(cut, "m long, doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"), repeats)
 
 
 #: For strings of 400 bytes, in hexadecimal.

@@ -11,9 +11,11 @@ record
     g         the anchor's hash
     c         hash of the run's whole text, lo and hi
 
-so two windows can only be equal if their records agree in g. Records that agree in c too are
-copies and are counted, not compared; one record per distinct (g, c) is an entry. The texts of
-entries are fetched only for anchors that have several.
+so two windows can only be equal if their records agree in g. Records that agree in c too, so in 128
+bits of hashes, are copies and are counted, not compared; one record per distinct (g, c) is an entry.
+The texts of entries are fetched only for anchors that have several. An anchor with very many entries is
+split by more of the text around it: its runs are cut in runs of a few windows, and their common
+elements are the new anchor; see finer().
 """
 
 from __future__ import annotations
@@ -23,12 +25,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, Scratch, lookup, raw, slices
 
 ANCHORS = "d long, h long, a long, lo int, hi int, g long, c long"
+#: Entries of one anchor beyond which it is split, and the windows of a run in each step of that. In the last
+#: step a run is one window, so that all its equals are copies and no anchor is left with several entries.
+MANY, STEPS = 20_000, (16, 1)
+#: Copies of a row that are written by one task.
+COPIES = 1000
 NO_ID = -(1 << 63)
 #: Elements of a text that are hashed at once; longer texts are taken in overlapping parts.
 PART = 1 << 20
@@ -143,7 +150,7 @@ def anchors(text: ByteText | WordText, k: int, length: int) -> tuple[np.ndarray,
 
 
 def find_anchors(texts: DataFrame, kind: type, k: int, length: int) -> DataFrame:
-    """The records of texts (d, h, text)."""
+    """The records of texts (d, h, text), in that order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -168,40 +175,88 @@ def find_anchors(texts: DataFrame, kind: type, k: int, length: int) -> DataFrame
 
 
 def with_row(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, h, text): the row's doc_id, the least long where it is null, and a hash of its text."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
+    """(id, d, h, text): the row's doc_id, the same with the least long where it is null, and a hash of its
+    text, another one where the id is null."""
+    text, own = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
+    h = F.when(own.isNull(), F.xxhash64(text, F.lit(1))).otherwise(F.xxhash64(text))
+    return df.select(own.alias("id"), F.coalesce(own, F.lit(NO_ID)).alias("d"), h.alias("h"), text.alias("text"))
+
+
+def unique_rows(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """(texts with m, whether a row is repeated): rows with one (d, h) once, m the number of them. Without
+    repeats, as a rule, that is one pass over (d, h); with them, the texts are written."""
+    repeats = scratch.table(texts.groupBy("d", "h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "repeats")
+    if repeats.isEmpty():
+        return texts.withColumn("m", F.lit(1).cast("long")), False
+    alone = texts.join(repeats, ["d", "h"], "left_anti").withColumn("m", F.lit(1).cast("long"))
+    once = texts.join(F.broadcast(repeats) if repeats.count() <= 10_000 else repeats, ["d", "h"], "left_semi").groupBy("d", "h").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("m"))
+    return scratch.table(alone.unionByName(once), "unique"), True
+
+
+def every_copy(out: DataFrame, repeated: bool) -> DataFrame:
+    """Rows of results, with m, as often as the input had them."""
+    if not repeated:
+        return out.drop("m")
+    n = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = out.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / COPIES))))
+    each = F.explode(F.array_repeat(F.lit(0), F.least(F.lit(COPIES), F.col("m") - F.col("_part") * COPIES).cast("int")))
+    return parts.repartition(n).withColumn("_copy", each).drop("m", "_part", "_copy")
 
 
 def candidates(texts: DataFrame, scratch: Scratch, kind: type, k: int, length: int, other_doc: bool) -> tuple[DataFrame, DataFrame]:
     """(records, entries): the records whose anchor occurs again (in another document if other_doc),
-    and one row per (g, c) of them: copies, and d, h, a, lo, hi of the first."""
-    found = scratch.table(find_anchors(texts, kind, k, length), "anchors")
+    and one row per (g, c) of them."""
+    found = scratch.table(find_anchors(texts.select("d", "h", "text"), kind, k, length), "anchors")
     again = F.col("first") < F.col("last") if other_doc else F.col("n") > 1
     grams = found.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *([F.min("d").alias("first"), F.max("d").alias("last")] if other_doc else [])).where(again).select("g", "n")
     grams = scratch.table(grams, "grams")
     records = scratch.table(lookup(found, grams, ["g"], "n", max(1, found.count()), inner=True).drop("n"), "records")
     scratch.drop("anchors", "grams")
-    first = F.min(F.struct("d", "h", "a", "lo", "hi")).alias("first")
-    entries = records.groupBy("g", "c").agg(F.count(F.lit(1)).alias("copies"), first).select("g", "c", "copies", "first.*")
-    return records, scratch.table(entries, "entries")
-
-
-def open_entries(entries: DataFrame, scratch: Scratch, single: bool) -> tuple[DataFrame, int]:
-    """(entries that must be compared, all of them): those of an anchor with several entries, if
-    `single` of which one at least has no copy. With them `several`: how many the anchor has."""
-    some = F.sum((F.col("copies") == 1).cast("long"))
-    per = entries.groupBy("g").agg(F.count(F.lit(1)).alias("several"), some.alias("alone")).where("several > 1" + " and alone > 0" * single).select("g", "several")
-    per = scratch.table(per, "several")
-    total = entries.count()
-    return scratch.table(lookup(entries, per, ["g"], "several", max(1, total), inner=True), "open"), total
+    records = records.withColumn("g0", F.col("g")).withColumn("c0", F.col("c"))
+    return records, scratch.table(distinct_runs(records, F.count(F.lit(1))), "entries")
+
+
+def distinct_runs(records: DataFrame, copies: Column) -> DataFrame:
+    """An entry for each (g, c) of records: copies, n (records), and the first record."""
+    first = F.min(F.struct("d", "h", "a", "lo", "hi", "g0", "c0")).alias("first")
+    return records.groupBy("g", "c").agg(copies.alias("copies"), F.count(F.lit(1)).alias("n"), first).select("g", "c", "copies", "n", "first.*")
+
+
+def resolved(records: DataFrame, entries: DataFrame, texts: DataFrame, scratch: Scratch, kind: type, length: int, compare: Callable, later: bool, many: int = MANY, steps: tuple[int, ...] = STEPS, name: str = "") -> DataFrame:
+    """(d, h, g0, c0, a, lo, hi) of the runs of `records` (these, g, c and copies) whose windows are repeated: as often
+    as they like or, if later, in a smaller d. compare(contexts) gives (g, c, o1, o2) for entries of the same anchor."""
+    total = max(1, records.count())
+    alone = F.sum((F.col("copies") == 1).cast("long"))
+    per = entries.groupBy("g").agg(F.count(F.lit(1)).alias("several"), alone.alias("alone")).where("several > 1" + " and alone > 0" * (not later)).select("g", "several")
+    per = scratch.table(per, f"several{name}")
+    keep = ["d", "h", "g0", "c0", "a", "lo", "hi"]
+    rows = records.drop("copies")
+    if later:
+        met = scratch.table(lookup(rows, entries.select("g", "c", "n", F.col("d").alias("least")), ["g", "c"], "n", total, inner=True), f"met{name}")
+        known, own = met.where("d > least"), met.where("d = least")
+    else:
+        known, own = lookup(rows, entries.where("copies > 1").select("g", "c", "n"), ["g", "c"], "n", total, inner=True), entries.where("copies = 1")
+    open_ = scratch.table(lookup(entries, per, ["g"], "several", max(1, entries.count()), inner=True), f"open{name}")
+    found = scratch.table(compare(contexts(open_.where(F.col("several") <= many), texts, kind, length)), f"found{name}")
+    # an entry's result is for its first record or, if later, for all of the same document
+    new = own.join(found, ["g", "c"]).select("d", "h", "g0", "c0", "a", F.col("o1").cast("int").alias("lo"), F.col("o2").cast("int").alias("hi"))
+    out = known.select(*keep).unionByName(new)
+    big = open_.where(F.col("several") > many)
+    if big.isEmpty() or not steps:
+        return out
+    name = f"{name}-{len(steps)}"
+    parts = scratch.table(finer(big, texts, kind, length, steps[0]), f"parts{name}")
+    own_entries = scratch.table(distinct_runs(parts, F.sum("copies")), f"entries{name}")
+    inner = scratch.table(resolved(parts, own_entries, texts, scratch, kind, length, compare, later, many, steps[1:], name), f"inner{name}").select("g0", "c0", "lo", "hi")
+    back = own.select("d", "h", F.col("g0").alias("g1"), F.col("c0").alias("c1"), "a", F.col("g").alias("g0"), F.col("c").alias("c0"))
+    return out.unionByName(back.join(inner, ["g0", "c0"]).select("d", "h", F.col("g1").alias("g0"), F.col("c1").alias("c0"), "a", "lo", "hi"))
 
 
 def fetch(open_: DataFrame, texts: DataFrame, emit: Callable, schema: str) -> DataFrame:
     """Rows that emit(text, entry) yields for the entries of each text, which is fetched by (d, h).
     A document's list of entries is no longer than its text."""
     mine = open_.groupBy("d", "h").agg(F.collect_list(F.struct("g", "c", "a", "lo", "hi", "copies")).alias("entries"))
-    return texts.join(mine, ["d", "h"]).select("d", "entries", "text").mapInArrow(emit, schema)
+    return texts.join(mine, ["d", "h"]).select("d", "h", "entries", "text").mapInArrow(emit, schema)
 
 
 def contexts(open_: DataFrame, texts: DataFrame, kind: type, length: int) -> DataFrame:
@@ -210,7 +265,7 @@ def contexts(open_: DataFrame, texts: DataFrame, kind: type, length: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             out, size = [], 0
-            for d, entries, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for d, entries, text in zip(*(b.column(i).to_pylist() for i in (0, 2, 3))):
                 t = kind(text.encode())
                 for e in entries:
                     part = t.text(e["a"] - e["hi"], e["a"] - e["lo"] + length)
@@ -229,21 +284,33 @@ def contexts(open_: DataFrame, texts: DataFrame, kind: type, length: int) -> Dat
     return fetch(open_, texts, run, "g long, c long, d long, lo int, hi int, copies long, part binary")
 
 
-def windows(open_: DataFrame, texts: DataFrame, kind: type, length: int) -> DataFrame:
-    """For anchors with very many entries: each window by itself, as (g, c, d, copies, o, w), w a hash
-    of its text, to be counted by Spark and not gathered."""
+def finer(open_: DataFrame, texts: DataFrame, kind: type, length: int, step: int) -> DataFrame:
+    """Entries cut in runs of up to `step` windows, places o div step equal: g0, c0 (the entry), d, h, a, lo, hi,
+    copies, g (hash of what all windows of such places have in common), c (of the run's text)."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    names = ["g0", "c0", "d", "h", "a", "lo", "hi", "copies", "g", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            for d, entries, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+            out: list[tuple] = []
+            for d, h, entries, text in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("d", "h", "entries", "text"))):
                 t = kind(text.encode())
+                plain = (lambda i, j, t=t: b" ".join(t.text(i, j).split())) if kind is WordText else t.text
                 for e in entries:
-                    o = range(e["lo"], e["hi"] + 1)
-                    w = [xxhash.xxh3_64_intdigest(b" ".join(t.text(e["a"] - i, e["a"] - i + length).split()) if kind is WordText else t.text(e["a"] - i, e["a"] - i + length)) - (1 << 63) for i in o]
-                    n = len(w)
-                    yield pa.RecordBatch.from_arrays([pa.array([e["g"]] * n, pa.int64()), pa.array([e["c"]] * n, pa.int64()), pa.array([d] * n, pa.int64()), pa.array([e["copies"]] * n, pa.int64()), pa.array(o, pa.int32()), pa.array(w, pa.int64())], ["g", "c", "d", "copies", "o", "w"])
+                    a = e["a"]
+                    for j in range(e["lo"] // step, e["hi"] // step + 1):
+                        lo, hi = max(e["lo"], j * step), min(e["hi"], (j + 1) * step - 1)
+                        core = plain(a - j * step, a - (j + 1) * step + 1 + length)
+                        g = xxhash.xxh3_64_intdigest(core, (e["g"] + j) % (1 << 64)) - (1 << 63)
+                        c = xxhash.xxh3_64_intdigest(plain(a - hi, a - lo + length), hi * length + lo) - (1 << 63)
+                        out.append((e["g"], e["c"], d, h, a, lo, hi, e["copies"], g, c))
+                    if len(out) > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+                        out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
 
-    return fetch(open_, texts, run, "g long, c long, d long, copies long, o int, w long")
+    return fetch(open_, texts, run, "g0 long, c0 long, d long, h long, a long, lo int, hi int, copies long, g long, c long")
 
 
 def by_anchor(found: DataFrame, resolve: Callable, schema: str, block_bytes: int = SLICE_BYTES) -> DataFrame:
