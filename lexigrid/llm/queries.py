@@ -84,4 +84,4 @@ SELECT vec_id, coalesce(k.n, 0) AS n_links, c.component_id, vec_id = c.component
 FROM embeddings JOIN c ON c.u = vec_id LEFT JOIN k ON k.u = vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_embed_dedup": EMBED_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_suffix_dedup": suffix_dedup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op8_substring_dedup": substring_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": minhash.ORACLE_SQL, "op6_embed_dedup": EMBED_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_suffix_dedup": suffix_dedup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op8_substring_dedup": substring_dedup.ORACLE_SQL}

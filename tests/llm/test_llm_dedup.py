@@ -5,6 +5,7 @@ import os
 import random
 import re
 import sys
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -180,8 +181,9 @@ def test_large_buckets_link_members_of_different_leaders(spark, options):
     docs = spark.createDataFrame([(d, " ".join(f"w{i}" for i in range(a, a + 102))) for d, a in starts.items()], "doc_id long, text string")
     keys = spark.createDataFrame([(7, d, 100) for d in starts], "key long, node long, n long")
     scratch = Scratch(spark, "test")
-    keys, docs = scratch.table(keys, "given"), scratch.table(docs, "docs")
-    found = minhash.linked(keys, docs, scratch, 0.6, 1.25, small=2, **options).collect()
+    sets = minhash.shingles(docs).selectExpr("doc_id as node", "100L as n", "shingles as s")
+    keys, sets = scratch.table(keys, "given"), scratch.table(sets, "sets")
+    found = minhash.linked(keys, sets, scratch, 0.6, 1.25, small=2, **options).collect()
     assert sorted((r.x, r.y, r.both) for r in found) == [(1, 3, 70), (2, 4, 70), (3, 4, 70)]
 
 
@@ -193,6 +195,48 @@ def test_links_of_a_large_group_are_all_counted(spark):
     assert {(r.doc_id, r.class_id, r.n_links) for r in out} == {(d, 0, 39) for d in range(40)}
 
 
+def plain_links(texts, threshold=0.6):
+    """(smaller set's doc_id, larger's, their sizes) of all linked pairs of different sets."""
+    sets = {}
+    for d, t in sorted((d, t) for d, t in texts if d is not None):
+        w = re.sub(r"[\x20\x09-\x0D]+", " ", (t or "").lower()).strip(" ").split(" ")
+        if w != [""]:
+            sets.setdefault(frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)]), d)
+    holders = {}
+    for s in sets:
+        for x in s:
+            holders.setdefault(x, []).append(s)
+    out = set()
+    for a in sets:
+        for b, both in Counter(b for x in a for b in holders[x]).items():
+            if (len(a), sets[a]) < (len(b), sets[b]) and both >= threshold * len(a) - 1e-9:
+                out.add((sets[a], sets[b], len(a), len(b)))
+    return out
+
+
+@pytest.mark.parametrize("folder", ["sf0.01"])
+def test_all_links_of_a_table_are_found_at_any_ratio_of_sizes(spark, sf, folder):
+    docs = spark.read.parquet(f"{os.path.dirname(sf)}/{folder}/documents.parquet").select("doc_id", "text")
+    expected = plain_links([tuple(r) for r in docs.collect()])
+    links, *_ = minhash.all_links(docs, Scratch(spark, "recall"), 0.6, 1.25)
+    got = {tuple(sorted((r.x, r.y))) for r in links.collect()}
+    near = {tuple(sorted(x[:2])) for x in expected if x[3] <= 1.25 * x[2]}
+    far = {tuple(sorted(x[:2])) for x in expected} - near
+    assert got <= near | far and len(got) == links.count()
+    assert len(got & near) >= 0.95 * len(near) and got & far == far and len(far) > 10
+
+
+def test_a_short_document_in_many_long_ones_is_named_but_joins_no_class(spark):
+    """A tenth of a long document is a hot passage, which is also a document of its own."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(1, " ".join(passage)), (2, " ".join(["x", *passage[:36]]))]
+    rows += [(10 + i, " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(200)), *passage, *(f"w{rng.randrange(10**6)}" for _ in range(160))])) for i in range(60)]
+    out = {r.doc_id: r for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (out[1].n_links, out[1].container_id, out[1].class_id, out[2].class_id) == (61, 10, 1, 1)
+    assert all(out[d].kept and out[d].n_links == 2 and out[d].container_id is None for d in out if d >= 10)
+
+
 def test_banding_is_tuned_to_the_sizes():
     bounds = minhash.size_bounds(1.5)
     assert all(b > a for a, b in zip(bounds, bounds[1:]))
