@@ -23,6 +23,37 @@ def segment_greedy(text: str, vocabulary: Collection[str], longest: int) -> list
     return out
 
 
+class Greedy:
+    """segment_greedy() for a vocabulary that is used often: a word is only looked for where its first two
+    characters are, and only in lengths that words with these have."""
+
+    def __init__(self, words: Iterable[str], longest: int):
+        self.words = frozenset(w for w in words if 2 <= len(w) <= longest)
+        sizes: dict[str, set[int]] = {}
+        for w in self.words:
+            sizes.setdefault(w[:2], set()).add(len(w))
+        self.sizes = {head: tuple(sorted(own, reverse=True)) for head, own in sizes.items()}
+
+    def add_words(self, text: str, out: list[str]) -> None:
+        """Append the words of text to out."""
+        i, n, words, get, add = 0, len(text), self.words, self.sizes.get, out.append
+        while i < n:
+            for k in get(text[i : i + 2], ()):
+                w = text[i : i + k]
+                if w in words:
+                    add(w)
+                    i += k
+                    break
+            else:
+                add(text[i])
+                i += 1
+
+    def cut(self, text: str) -> list[str]:
+        out: list[str] = []
+        self.add_words(text, out)
+        return out
+
+
 def segment_lengths(text: str, best: dict[int, int]) -> list[str]:
     """The same walk, given the longest match (2 or more) at the places that have one."""
     out, i = [], 0
@@ -134,6 +165,57 @@ class Perceptron:
         self.totals, self.stamps = {}, {}
 
 
+#: The beginnings of the 13 features, in order; what follows is a character or a tag.
+SLOTS = tuple(f.removesuffix("X") for f in features(["X"] * 5, 2, "X", "X"))
+
+
+class Scorer:
+    """A trained perceptron's predictions by tables for each feature's character or tag, added in the order
+    of features(), so that sums are the same to the last bit."""
+
+    def __init__(self, weights: dict[str, dict[str, float]], classes: Iterable[str]):
+        self.classes = sorted(classes)
+        at = {c: i for i, c in enumerate(self.classes)}
+        own = {f: tuple((at[c], w) for c, w in ws.items() if c in at) for f, ws in weights.items()}
+        self.bias = [0.0] * len(at)
+        for i, w in own.get("bias", ()):
+            self.bias[i] += w
+        self.tables = tuple({f[len(slot) :]: pairs for f, pairs in own.items() if f.startswith(slot)} for slot in SLOTS[1:])
+
+    def tag(self, words: Sequence[str], tagdict: dict[str, str]) -> list[str]:
+        """tag_words() with this model."""
+        out: list[str] = []
+        if not words:
+            return out
+        known, top, classes, (t0, t1, t2, t3, t4, t5, t6, t7, t8, t9, t10, t11) = tagdict.get, len(self.classes) - 1, self.classes, self.tables
+        # first and final characters, those of the sentinels around them
+        first = ["-", "-", *[w[:1] for w in words], "-", "-"]
+        final = ["-", "-", *[w[-1:] for w in words], "-", "-"]
+        prev, prev2 = START
+        for i, w in enumerate(words):
+            tag = known(w)
+            if tag is None:
+                if top < 0:
+                    tag = ""
+                else:
+                    scores = self.bias.copy()
+                    for pairs in (
+                        t0.get(first[i + 2]), t1.get(final[i + 2]), t2.get(first[i + 1]), t3.get(final[i + 1]), t4.get(prev),
+                        t5.get(first[i]), t6.get(final[i]), t7.get(prev2), t8.get(first[i + 3]), t9.get(final[i + 3]), t10.get(first[i + 4]), t11.get(final[i + 4]),
+                    ):
+                        if pairs:
+                            for c, x in pairs:
+                                scores[c] += x
+                    best = max(scores)
+                    c = top
+                    while scores[c] != best:
+                        c -= 1
+                    tag = classes[c]
+            out.append(tag)
+            prev2, prev = prev, tag
+        return out
+
+
 def tag_words(words: Sequence[str], model: Perceptron, tagdict: dict[str, str]) -> list[str]:
     """Tags from left to right; a word in the dictionary never reaches the model."""
     out: list[str] = []

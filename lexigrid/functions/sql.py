@@ -16,9 +16,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.segment import LongestMatchModel, segmenter, valid_prob
-from ..operators.tagging import BROADCAST_WORDS, PerceptronTaggerModel
+from ..operators.tagging import BROADCAST_WORDS, PerceptronTaggerModel, tagging
 from .columns import threshold
-from .kernels import Perceptron, segment_greedy, tag_words
+from .kernels import Greedy
 
 
 def _words(spark: SparkSession, model: LongestMatchModel):
@@ -36,8 +36,10 @@ def register_segmenter(spark: SparkSession, model: LongestMatchModel) -> None:
     @F.udtf(returnType="pos long, word string")
     class SegmentRows:
         def eval(self, text: str) -> Iterator[tuple[int, str]]:
+            if not hasattr(self, "greedy"):
+                self.greedy = Greedy(words.value, longest)
             if text is not None:
-                yield from enumerate(segment_greedy(text, words.value, longest))
+                yield from enumerate(self.greedy.cut(text))
 
     spark.udtf.register("segment_rows", SegmentRows)
 
@@ -66,11 +68,4 @@ def register_tagger(spark: SparkSession, model: PerceptronTaggerModel) -> None:
     if len(model.tagdict) > BROADCAST_WORDS:
         raise ValueError("the dictionary is too large for a SQL function; use transform()")
     shared = spark.sparkContext.broadcast((model.weights, model.tagdict, sorted(model.classes)))
-
-    @F.pandas_udf("array<string>")
-    def pos_tag(sents: pd.Series) -> pd.Series:
-        weights, tagdict, classes = shared.value
-        own = Perceptron(weights, classes)
-        return pd.Series([None if s is None else tag_words(list(s), own, tagdict) for s in sents], dtype=object)
-
-    spark.udf.register("pos_tag", pos_tag)
+    spark.udf.register("pos_tag", tagging(shared))

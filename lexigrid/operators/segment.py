@@ -15,6 +15,7 @@ import random
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import random_words
-from ..functions.kernels import segment_greedy, segment_lengths, segment_random
+from ..functions.kernels import Greedy, segment_lengths, segment_random
 
 #: Characters of all words of a vocabulary that is broadcast (about 100 MB in a worker), and nodes of one
 #: that becomes a pattern: matching slows down sharply somewhere beyond 70 thousand.
@@ -148,13 +149,21 @@ class LongestMatchModel(Model, HasInputCol, HasOutputCol):
 
 
 def segmenter(words, longest: int):
-    """A pandas UDF text -> words with a broadcast vocabulary."""
+    """A UDF text -> words with a broadcast vocabulary, in Arrow batches."""
 
-    @F.pandas_udf("array<string>")
-    def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = words.value
+    @F.arrow_udf("array<string>")
+    def segment(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        greedy = Greedy(words.value, longest)
         for texts in batches:
-            yield pd.Series([None if t is None else segment_greedy(t, known, longest) for t in texts], dtype=object)
+            out: list[str] = []
+            ends: list[int | None] = [0]
+            for t in texts.to_pylist():
+                if t is None:
+                    ends[-1] = None  # a null offset is a null list
+                else:
+                    greedy.add_words(t, out)
+                ends.append(len(out))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.string()))
 
     return segment
 
@@ -182,13 +191,13 @@ class LongestStringMatching:
 
     def __init__(self, *, max_word_length: int):
         self.max_word_length = valid_length(max_word_length)
-        self._words: frozenset[str] = frozenset()
+        self._greedy = Greedy((), max_word_length)
 
     def fit(self, sents: Iterable[Iterable[str]]) -> None:
-        self._words = frozenset(w for s in sents for w in s if len(w) > 1)
+        self._greedy = Greedy((w for s in sents for w in s), self.max_word_length)
 
     def predict(self, sent_strs: Iterable[str]) -> list[list[str]]:
-        return [segment_greedy(s, self._words, self.max_word_length) for s in sent_strs]
+        return [*map(self._greedy.cut, sent_strs)]
 
 
 class RandomSegmenter:

@@ -14,13 +14,14 @@ import random
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import Perceptron, make_tagdict, tag_words, train_pass
+from ..functions.kernels import Perceptron, Scorer, make_tagdict, train_pass
 from ..sources import models
 
 #: Words of a tag dictionary that is broadcast. Larger ones are looked up by a join beforehand.
@@ -186,6 +187,19 @@ def from_rows(rows: Iterable) -> dict[str, dict[str, float]]:
     return out
 
 
+def tagging(shared):
+    """A UDF words -> tags with a broadcast (weights, dictionary, classes), in Arrow batches."""
+
+    @F.arrow_udf("array<string>")
+    def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        weights, tagdict, classes = shared.value
+        model = Scorer(weights, classes)
+        for sents in batches:
+            yield pa.array([None if s is None else model.tag(s, tagdict) for s in sents.to_pylist()], pa.list_(pa.string()))
+
+    return tag
+
+
 class PerceptronTaggerModel(Model, HasInputCol, HasOutputCol):
     """Tags words (array<string>): outputCol is array<string> of the same length; null for null."""
 
@@ -199,14 +213,7 @@ class PerceptronTaggerModel(Model, HasInputCol, HasOutputCol):
             return self._looked_up(dataset)
         shared = dataset.sparkSession.sparkContext.broadcast((self.weights, self.tagdict, sorted(self.classes)))
 
-        @F.pandas_udf("array<string>")
-        def tag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            weights, tagdict, classes = shared.value
-            model = Perceptron(weights, classes)
-            for sents in batches:
-                yield pd.Series([None if s is None else tag_words(list(s), model, tagdict) for s in sents], dtype=object)
-
-        return dataset.withColumn(self.getOutputCol(), tag(self.getInputCol()))
+        return dataset.withColumn(self.getOutputCol(), tagging(shared)(self.getInputCol()))
 
     def _looked_up(self, dataset: DataFrame) -> DataFrame:
         """With each text's own part of the dictionary, joined to its distinct words."""
@@ -217,11 +224,12 @@ class PerceptronTaggerModel(Model, HasInputCol, HasOutputCol):
         met = sents.select("h", "h2", F.explode(F.array_distinct("s")).alias("word")).join(words, "word").groupBy("h", "h2").agg(F.collect_list(F.struct("word", "tag")).alias("known"))
         shared = spark.sparkContext.broadcast((self.weights, sorted(self.classes)))
 
-        @F.pandas_udf("array<string>")
-        def tag(sents: pd.Series, known: pd.Series) -> pd.Series:
-            weights, classes = shared.value
-            model = Perceptron(weights, classes)
-            return pd.Series([None if s is None else tag_words(list(s), model, {} if k is None else {e["word"]: e["tag"] for e in k}) for s, k in zip(sents, known)], dtype=object)
+        @F.arrow_udf("array<string>")
+        def tag(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            model = Scorer(*shared.value)
+            for sents, known in batches:
+                books = ({} if k is None else {e["word"]: e["tag"] for e in k} for k in known.to_pylist())
+                yield pa.array([None if s is None else model.tag(s, k) for s, k in zip(sents.to_pylist(), books)], pa.list_(pa.string()))
 
         keyed = dataset.withColumn("h", F.xxhash64(name)).withColumn("h2", F.xxhash64(name, F.lit(1)))
         return keyed.join(met, ["h", "h2"], "left").withColumn(self.getOutputCol(), tag(name, "known")).drop("h", "h2", "known")
@@ -238,6 +246,13 @@ class PerceptronTaggerModel(Model, HasInputCol, HasOutputCol):
     def save_json(self, path: str) -> None:
         models.save_json(path, self.weights, self.tagdict, self.classes)
 
+    def to_json(self) -> str:
+        return models.to_json(self.weights, self.tagdict, self.classes)
+
+    @classmethod
+    def from_json(cls, text: str) -> PerceptronTaggerModel:
+        return cls(*models.from_json(text, ({}, {}, set())))
+
     def save_parquet(self, spark: SparkSession, path: str) -> None:
         models.save_parquet(spark, path, self.weights, self.tagdict, self.classes)
 
@@ -260,6 +275,7 @@ class AveragedPerceptronTagger:
         self._model = Perceptron()
         self._tagdict: dict[str, str] = {}
         self._classes: set[str] = set()
+        self._scorer = Scorer({}, ())
 
     def train(self, tagged_sents: Sequence[Sequence[tuple[str, str]]]) -> None:
         corpus = [list(s) for s in tagged_sents]
@@ -271,9 +287,10 @@ class AveragedPerceptronTagger:
             train_pass(self._model, self._tagdict, corpus)
             self._rng.shuffle(corpus)
         self._model.average()
+        self._scorer = Scorer(self._model.weights, self._classes)
 
     def tag(self, words: Sequence[str]) -> list[str]:
-        return tag_words(list(words), self._model, self._tagdict)
+        return self._scorer.tag(words, self._tagdict)
 
     def save(self, path: str) -> None:
         models.save_json(path, self._model.weights, self._tagdict, self._classes)
@@ -282,6 +299,7 @@ class AveragedPerceptronTagger:
         """Replaces what the file has; the counter of instances stays."""
         self._model.weights, self._tagdict, self._classes = models.load_json(path, (self._model.weights, self._tagdict, self._classes))
         self._model.classes = sorted(self._classes)
+        self._scorer = Scorer(self._model.weights, self._classes)
 
     @property
     def weights(self) -> dict[str, dict[str, float]]:

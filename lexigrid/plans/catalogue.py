@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions.columns import prefixes, random_words, round3
 from ..operators.segment import LongestMatch, LongestMatchModel
 from ..operators.sequences import SequenceSet
 from ..operators.tagging import PerceptronTagger, PerceptronTaggerModel, best_class, contexts, feature_columns, tag_counts, tag_dictionary
-from ..sources.corpus import documents, lines, spread, tagged, tokens, words_of
+from ..sources.corpus import documents, generated_sentences, generated_tagged, generated_vocabulary, lines, split, spread, tagged, tokens, usable, words_of
 
 LONGEST = 6
+#: Of the generated tagged corpus.
+PATTERNS = [["DET", "NOUN", "VERB"], ["NOUN", "VERB", "DET", "ADJ", "NOUN"], ["VERB"]]
+WORDS = {"DET": ["a", "the"], "NOUN": ["cat", "dog", "run"], "VERB": ["run", "sees"], "ADJ": ["big"]}
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,22 +61,33 @@ def trie_contains(spark, sf_dir):
 
 
 def trie_has_prefix(spark, sf_dir):
-    probes = _probes(spark, sf_dir).withColumn("probe", F.left("word", F.lit(4))).drop("word")
+    """Of every prefix of each word, itself included, and of the word with one more character."""
+    starts = F.concat(prefixes(F.col("word")), F.array(F.concat("word", F.lit("~"))))
+    probes = _probes(spark, sf_dir).select("item_id", "pos", F.posexplode(starts).alias("k", "probe")).withColumn("k", F.col("k").cast("long"))
     return _members(spark, sf_dir).has_prefix(probes, "probe")
 
 
+def trie_clear(spark, sf_dir):
+    """The set, the cleared one, and the cleared one with the benchmark's words: whether empty, and how many members."""
+    full = _members(spark, sf_dir)
+    bare = full.clear()
+    again = bare.insert(_probes(spark, sf_dir), "word")
+    rows = [(name, s.members.agg((F.count(F.lit(1)) == 0).alias("is_empty"), F.count(F.lit(1)).alias("members"))) for name, s in (("full", full), ("cleared", bare), ("refilled", again))]
+    return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("state"), "is_empty", "members") for name, df in rows))
+
+
 def trie_longest_match(spark, sf_dir):
     return _members(spark, sf_dir).longest_match(_probes(spark, sf_dir), LONGEST, "word").withColumn("match_len", F.col("match_len").cast("long"))
 
 
 def trie_tokens_longest_match(spark, sf_dir):
-    """Members are the pairs and triples of words that begin a line of a document; probes the lines of
-    the turns, whose first words they may begin."""
+    """Members are the lines of the documents as sequences of words, whole, and the pairs and triples of words that
+    begin them; probes the turns, whole."""
     docs = documents(spark, sf_dir)
-    heads = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(words_of(F.col("line")).alias("w")).where(F.size("w") >= 2)
-    members = SequenceSet.of(heads.select(F.explode(F.array(F.slice("w", 1, 2), F.slice("w", 1, 3))).alias("seq")), "seq")
+    seqs = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(words_of(F.col("line")).alias("w")).where(F.size("w") >= 2)
+    members = SequenceSet.of(seqs.select(F.explode(F.array("w", F.slice("w", 1, 2), F.slice("w", 1, 3))).alias("seq")), "seq")
     turns = _turns(spark, sf_dir)
-    return members.longest_match(turns, 3, "words").select("conv_id", "turn", F.col("match_len").cast("long").alias("match_len"))
+    return members.longest_match(turns, 1 << 30, "words").select("conv_id", "turn", F.col("match_len").cast("long").alias("match_len"))
 
 
 def _model(spark, sf_dir, longest=LONGEST, strategy="auto") -> LongestMatchModel:
@@ -207,29 +221,90 @@ def pos_train(spark, sf_dir):
     return model.weights_df(spark).select("feature", F.explode_outer("weights").alias("class", "weight"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset and Spark is one process, the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    return root.rstrip("/")
+
+
 def pos_save_load(spark, sf_dir):
     """pos_tag by a model that went through JSON and Parquet."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    model = _count_model(spark, sf_dir)
-    with tempfile.TemporaryDirectory() as own:
-        model.save_json(os.path.join(own, "tagger.json"))
-        model = PerceptronTaggerModel.load_json(os.path.join(own, "tagger.json"))
-    at = f"{root.rstrip('/')}/lexigrid/model-{uuid.uuid4().hex}"
+    root = shared_dir(spark)
+    model = PerceptronTaggerModel.from_json(_count_model(spark, sf_dir).to_json())
+    at = f"{root}/lexigrid/model-{uuid.uuid4().hex}"
     model.save_parquet(spark, at)
     return _tags(PerceptronTaggerModel.load_parquet(spark, at).transform(_turns(spark, sf_dir)))
 
 
 def trie_prefix_counts(spark, sf_dir):
-    """How many members each prefix of up to 3 characters has."""
-    return _members(spark, sf_dir).members.select(F.explode(prefixes(F.col("seq"), 3)).alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("members"))
+    """How many members each prefix has."""
+    return _members(spark, sf_dir).members.select(F.explode(prefixes(F.col("seq"))).alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("members"))
+
+
+def gen_vocabulary(spark, sf_dir):
+    """A generated vocabulary of as many words as there are documents."""
+    return generated_vocabulary(spark, documents(spark, sf_dir).count(), 2, 8, 3)
+
+
+def gen_sentences(spark, sf_dir):
+    """Generated sentences, as many as documents, with their words in one string."""
+    n = documents(spark, sf_dir).count()
+    return generated_sentences(spark, generated_vocabulary(spark, n, 2, 8, 3), n, n, 5, 20, 3).select("sent_id", "text", F.size("words").cast("long").alias("n_words"))
+
+
+def gen_tagged(spark, sf_dir):
+    """Generated tagged sentences in long form."""
+    out = generated_tagged(spark, PATTERNS, WORDS, documents(spark, sf_dir).count(), 3)
+    return out.select("sent_id", F.posexplode("tokens").alias("pos", "t")).select("sent_id", F.col("pos").cast("long").alias("pos"), "t.word", "t.tag")
+
+
+def corpus_split(spark, sf_dir):
+    """The tagged turns of at least 3 usable tokens, parted four to one by conversation."""
+    one = usable(tagged(_turns(spark, sf_dir)), 3)
+    first, rest = split(one, "conv_id", 0.8)
+    parts = [df.select("conv_id", "turn", F.size("tokens").cast("long").alias("n"), F.lit(name).alias("part")) for name, df in (("train", first), ("test", rest))]
+    return parts[0].unionByName(parts[1])
+
+
+def sql_segment_longest(spark, sf_dir):
+    """lsm_segment in SQL."""
+    sql.register_segmenter(spark, _model(spark, sf_dir))
+    lines(documents(spark, sf_dir), ["doc_id"]).createOrReplaceTempView("lexigrid_lines")
+    return spark.sql("SELECT doc_id, ln, CAST(w.pos AS BIGINT) AS pos, w.word FROM (SELECT doc_id, ln, segment_longest(text) AS words FROM lexigrid_lines) LATERAL VIEW posexplode(words) w AS pos, word")
+
+
+def sql_segment_rows(spark, sf_dir):
+    """lsm_segment by the table function."""
+    sql.register_segmenter(spark, _model(spark, sf_dir))
+    lines(documents(spark, sf_dir), ["doc_id"]).createOrReplaceTempView("lexigrid_rows")
+    return spark.sql("SELECT doc_id, ln, r.pos, r.word FROM lexigrid_rows, LATERAL segment_rows(text) r")
+
+
+def sql_segment_random(spark, sf_dir):
+    """Random boundaries in SQL, with the key doc_id."""
+    sql.register_random(spark, 0.25, 7)
+    documents(spark, sf_dir).createOrReplaceTempView("lexigrid_docs")
+    return spark.sql("SELECT doc_id, CAST(w.pos AS BIGINT) AS pos, w.word FROM (SELECT doc_id, segment_random(doc_id, text) AS words FROM lexigrid_docs) LATERAL VIEW posexplode(words) w AS pos, word")
+
+
+def sql_pos_tag(spark, sf_dir):
+    """pos_tag in SQL."""
+    sql.register_tagger(spark, _count_model(spark, sf_dir))
+    _turns(spark, sf_dir).createOrReplaceTempView("lexigrid_turns")
+    return _tags(spark.sql("SELECT conv_id, turn, words, pos_tag(words) AS tags FROM lexigrid_turns"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        trie_vocab, trie_len, trie_insert_flags, trie_nodes, trie_contains, trie_has_prefix, trie_longest_match, trie_tokens_longest_match, trie_prefix_counts,
+        trie_vocab, trie_len, trie_insert_flags, trie_nodes, trie_contains, trie_has_prefix, trie_longest_match, trie_tokens_longest_match, trie_prefix_counts, trie_clear,
         lsm_vocab, lsm_segment, lsm_segment_max3, lsm_untrained, lsm_word_freq, lsm_single_char_rate, rand_prob0, rand_seeded,
         pos_context, pos_features, pos_tag_counts, pos_tagdict, pos_classes, pos_score, pos_tag, pos_update_count, pos_average, pos_train, pos_save_load,
+        gen_vocabulary, gen_sentences, gen_tagged, corpus_split, sql_segment_longest, sql_segment_rows, sql_segment_random, sql_pos_tag,
     )
 }
 
@@ -319,6 +394,16 @@ SELECT r.conv_id, r.turn, r.pos, x.word, r.tag FROM r JOIN x USING (conv_id, tur
 
 _COUNTS = rf"c AS (SELECT word, lang AS tag, count(*) AS n FROM ({_tokens_sql('documents', 'lang')}) WHERE lang IS NOT NULL GROUP BY ALL)"
 
+
+
+def _draw(key: str) -> str:
+    """columns.draw() with seed 3."""
+    return f"(CAST('0x' || left(md5('3|' || {key}), 8) AS BIGINT) / 4294967296.0)"
+
+
+_GENERATED = f"""n AS (SELECT unnest(range(0, (SELECT count(*) FROM documents))) AS i),
+v AS (SELECT i AS word_id, array_to_string(list_transform(range(1, 3 + CAST(floor({_draw("i || '|n'")} * 7) AS BIGINT)), lambda j: chr(CAST(97 + floor({_draw("i || '|' || j")} * 26) AS INT))), '') AS word FROM n)"""
+
 ORACLE_SQL = {
     "trie_vocab": f"WITH {_WORDS} SELECT word FROM m",
     "trie_len": f"WITH {_WORDS} SELECT count(*) AS members FROM m",
@@ -326,14 +411,17 @@ ORACLE_SQL = {
     "trie_nodes": f"""WITH {_WORDS}, e AS (SELECT word, unnest(range(0, length(word) + 1)) AS k FROM m)
 SELECT left(word, k) AS prefix, bool_or(k = length(word)) AS is_terminal, count(DISTINCT CASE WHEN k < length(word) THEN substring(word, k + 1, 1) END) AS num_children FROM e GROUP BY 1""",
     "trie_contains": f"WITH {_WORDS}, {_PROBE} SELECT item_id, pos, word, word IN (SELECT word FROM m) AS is_member FROM p",
-    "trie_has_prefix": f"WITH {_WORDS}, {_PROBE}, h AS (SELECT DISTINCT left(word, k) AS start FROM m, range(1, 5) r(k) WHERE length(word) >= k) SELECT item_id, pos, left(word, 4) AS probe, left(word, 4) IN (SELECT start FROM h) AS has_prefix FROM p",
+    "trie_has_prefix": f"WITH {_WORDS}, {_PROBE}, h AS MATERIALIZED (SELECT DISTINCT left(word, k) AS start FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM m)), q AS (SELECT item_id, pos, k - 1 AS k, CASE WHEN k > length(word) THEN word || '~' ELSE left(word, k) END AS probe FROM (SELECT *, unnest(range(1, length(word) + 2)) AS k FROM p)) SELECT item_id, pos, k, probe, probe IN (SELECT start FROM h) AS has_prefix FROM q",
     "trie_longest_match": f"""WITH {_WORDS}, {_PROBE}
 SELECT item_id, pos, p.word, CAST(coalesce((SELECT max(k) FROM range(1, {LONGEST + 1}) r(k) WHERE k <= length(p.word) AND left(p.word, k) IN (SELECT word FROM m)), 0) AS BIGINT) AS match_len FROM p""",
-    "trie_tokens_longest_match": r"""WITH h AS (SELECT regexp_extract_all(unnest(string_split(text, chr(10))), '[^ \n]+') AS w FROM documents),
-m AS MATERIALIZED (SELECT w[1:2] AS seq FROM h WHERE len(w) >= 2 UNION SELECT w[1:3] FROM h WHERE len(w) >= 2),
-t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, regexp_extract_all(coalesce(text, ''), '[^ \n]+') AS w FROM conversations)
-SELECT conv_id, turn, CAST(CASE WHEN len(w) >= 3 AND w[1:3] IN (SELECT seq FROM m) THEN 3 WHEN len(w) >= 2 AND w[1:2] IN (SELECT seq FROM m) THEN 2 ELSE 0 END AS BIGINT) AS match_len FROM t""",
-    "trie_prefix_counts": f"WITH {_WORDS} SELECT left(word, k) AS prefix, count(*) AS members FROM m, range(1, 4) r(k) WHERE k <= length(word) GROUP BY 1",
+    "trie_tokens_longest_match": r"""WITH h AS MATERIALIZED (SELECT DISTINCT regexp_extract_all(unnest(string_split(text, chr(10))), '[^ \n]+') AS w FROM documents),
+m AS MATERIALIZED (SELECT w AS seq FROM h WHERE len(w) >= 2 UNION SELECT w[1:2] FROM h WHERE len(w) >= 2 UNION SELECT w[1:3] FROM h WHERE len(w) >= 2),
+t AS MATERIALIZED (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, regexp_extract_all(coalesce(text, ''), '[^ \n]+') AS w FROM conversations),
+s AS (SELECT conv_id, turn, k, w[1:k] AS seq FROM (SELECT *, unnest(range(2, len(w) + 1)) AS k FROM t)),
+b AS (SELECT conv_id, turn, max(k) AS k FROM s SEMI JOIN m USING (seq) GROUP BY ALL)
+SELECT conv_id, turn, CAST(coalesce(k, 0) AS BIGINT) AS match_len FROM t LEFT JOIN b USING (conv_id, turn)""",
+    "trie_prefix_counts": f"WITH {_WORDS} SELECT left(word, k) AS prefix, count(*) AS members FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM m) GROUP BY 1",
+    "trie_clear": f"WITH {_WORDS}, {_PROBE} SELECT 'full' AS state, count(*) = 0 AS is_empty, count(*) AS members FROM m UNION ALL SELECT 'cleared', true, 0 UNION ALL SELECT 'refilled', count(*) = 0, count(DISTINCT word) FROM p",
     "lsm_vocab": f"WITH {_WORDS} SELECT word FROM m WHERE length(word) > 1",
     "lsm_segment": _segment_sql(LONGEST, _ALL),
     "lsm_segment_max3": _segment_sql(3, _ALL),
@@ -353,4 +441,24 @@ SELECT conv_id, turn, pos, arg_max(class, (score, class)) AS tag, max(score) AS
     "pos_update_count": f"WITH {_TURNS} SELECT count(*) * 5 AS instances FROM x WHERE word NOT IN (SELECT word FROM q)",
     "pos_average": "SELECT * FROM (SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round((l_extendedprice + (1000000 - l_partkey) * l_quantity) / 1000000 * 1000) / 1000 AS weight FROM lineitem) WHERE weight <> 0",
     "pos_save_load": _POS_TAG,
+    "gen_vocabulary": f"WITH {_GENERATED} SELECT word_id, word FROM v",
+    "gen_sentences": f"""WITH {_GENERATED},
+s AS (SELECT i, unnest(range(1, 6 + CAST(floor({_draw("i || '|n'")} * 16) AS BIGINT))) AS pos FROM n),
+w AS (SELECT s.i, pos, v.word FROM s JOIN v ON v.word_id = CAST(floor({_draw("i || '|' || pos || '|w'")} * (SELECT count(*) FROM n)) AS BIGINT))
+SELECT i AS sent_id, string_agg(word, '' ORDER BY pos) AS text, count(*) AS n_words FROM w GROUP BY 1""",
+    "gen_tagged": f"""WITH {_GENERATED},
+f AS (SELECT i, {PATTERNS}[1 + CAST(floor({_draw("i || '|p'")} * {len(PATTERNS)}) AS BIGINT)] AS f FROM n),
+t AS (SELECT i, generate_subscripts(f, 1) - 1 AS pos, unnest(f) AS tag FROM f),
+b AS (SELECT t.*, CASE tag {" ".join(f"WHEN '{t}' THEN {w}" for t, w in WORDS.items())} END AS ws FROM t)
+SELECT i AS sent_id, pos, ws[1 + CAST(floor({_draw("i || '|' || pos")} * len(ws)) AS BIGINT)] AS word, tag FROM b""",
+    "corpus_split": f"""WITH {_TURNS}, o AS (SELECT conv_id, turn, count(*) AS n FROM k GROUP BY ALL HAVING count(*) >= 3), q AS (SELECT quantile_cont(conv_id, 0.8) AS edge FROM o)
+SELECT conv_id, turn, n, CASE WHEN conv_id < edge THEN 'train' ELSE 'test' END AS part FROM o, q""",
+    "sql_segment_longest": _segment_sql(LONGEST, _ALL),
+    "sql_segment_rows": _segment_sql(LONGEST, _ALL),
+    "sql_segment_random": """
+WITH l AS (SELECT doc_id, text FROM documents WHERE text <> ''),
+d AS (SELECT doc_id, text, list_filter(range(1, length(text)), lambda p: CAST('0x' || substring(md5('7|' || doc_id || '|' || (p // 4)), 8 * (p % 4) + 1, 8) AS BIGINT) / 4294967296.0 < 0.25) AS c FROM l),
+e AS (SELECT doc_id, text, list_concat([0], c) AS a, list_concat(c, [length(text)]) AS b FROM d)
+SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, substring(text, unnest(a) + 1, unnest(b) - unnest(a)) AS word FROM e""",
+    "sql_pos_tag": _POS_TAG,
 }

@@ -23,38 +23,51 @@ def classes_df(spark: SparkSession, classes: Iterable[str]) -> DataFrame:
     return spark.createDataFrame([(c,) for c in sorted(classes)], "class string")
 
 
-def save_json(path: str, weights: dict[str, dict[str, float]], tagdict: dict[str, str], classes: Iterable[str]) -> None:
+def to_json(weights: dict[str, dict[str, float]], tagdict: dict[str, str], classes: Iterable[str]) -> str:
     """Only weights, dictionary and classes; no parameters or counters."""
+    return json.dumps({"classes": sorted(classes), "tagdict": tagdict, "weights": weights}, ensure_ascii=False, indent=2, sort_keys=True)
+
+
+def from_json(text: str, current: Parts, path: str = "<text>") -> Parts:
+    """The text's parts, and of `current` those it lacks. All are checked before any is returned."""
+    try:
+        data = json.loads(text)
+    except ValueError as e:
+        raise OSError(f"A file is at {path}, but it can't be read as a tagger model; it may be damaged. Error: {e}") from e
+    data = data if isinstance(data, dict) else {}
+    weights, tagdict, classes = current
+    if "weights" in data:
+        weights = _mapping(data["weights"], "weights", lambda own: {c: _number(w) for c, w in _mapping(own, "weights", lambda w: w).items()})
+    if "tagdict" in data:
+        tagdict = _mapping(data["tagdict"], "tagdict", lambda t: _string(t, "tagdict"))
+    if "classes" in data:
+        if not isinstance(data["classes"], list):
+            raise ValueError("Failed to parse classes: not a list")
+        classes = {_string(c, "classes") for c in data["classes"]}
+    return weights, tagdict, classes
+
+
+def save_json(path: str, weights: dict[str, dict[str, float]], tagdict: dict[str, str], classes: Iterable[str]) -> None:
     try:
         f = open(path, "w", encoding="utf-8")
     except OSError as e:
         raise OSError(f"Failed to create file: {e}") from e
     with f:
-        json.dump({"classes": sorted(classes), "tagdict": tagdict, "weights": weights}, f, ensure_ascii=False, indent=2, sort_keys=True)
+        f.write(to_json(weights, tagdict, classes))
 
 
 def load_json(path: str, current: Parts) -> Parts:
-    """The file's parts, and of `current` those it lacks. All are checked before any is returned."""
+    """from_json() of a file."""
     try:
-        f = open(path, encoding="utf-8")
+        f = open(path, "rb")
     except OSError as e:
         raise FileNotFoundError(f"Can't locate tagger model {path}") from e
     with f:
         try:
-            data = json.load(f)
+            text = f.read().decode()
         except ValueError as e:
             raise OSError(f"A file is at {path}, but it can't be read as a tagger model; it may be damaged. Error: {e}") from e
-    data = data if isinstance(data, dict) else {}
-    weights, tagdict, classes = current
-    if "weights" in data:
-        weights = _mapping(data["weights"], "weights", lambda own: {c: _number(w) for c, w in _mapping(own, "weights", lambda w: w).items()})
-    if "tagdict" in data:
-        tagdict = _mapping(data["tagdict"], "tagdict", lambda t: _string(t, "tagdict"))
-    if "classes" in data:
-        if not isinstance(data["classes"], list):
-            raise ValueError("Failed to parse classes: not a list")
-        classes = {_string(c, "classes") for c in data["classes"]}
-    return weights, tagdict, classes
+    return from_json(text, current, path)
 
 
 def _mapping(x, name: str, read) -> dict:
