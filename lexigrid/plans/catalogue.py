@@ -451,8 +451,8 @@ f AS (SELECT i, {PATTERNS}[1 + CAST(floor({_draw("i || '|p'")} * {len(PATTERNS)}
 t AS (SELECT i, generate_subscripts(f, 1) - 1 AS pos, unnest(f) AS tag FROM f),
 b AS (SELECT t.*, CASE tag {" ".join(f"WHEN '{t}' THEN {w}" for t, w in WORDS.items())} END AS ws FROM t)
 SELECT i AS sent_id, pos, ws[1 + CAST(floor({_draw("i || '|' || pos")} * len(ws)) AS BIGINT)] AS word, tag FROM b""",
-    "corpus_split": f"""WITH {_TURNS}, o AS (SELECT conv_id, turn, count(*) AS n FROM k GROUP BY ALL HAVING count(*) >= 3), q AS (SELECT quantile_cont(conv_id, 0.8) AS edge FROM o)
-SELECT conv_id, turn, n, CASE WHEN conv_id < edge THEN 'train' ELSE 'test' END AS part FROM o, q""",
+    "corpus_split": f"""WITH {_TURNS}, o AS (SELECT conv_id, turn, count(*) AS n FROM k GROUP BY ALL HAVING count(*) >= 3), e AS (SELECT quantile_cont(conv_id, 0.8) AS edge FROM o)
+SELECT conv_id, turn, n, CASE WHEN conv_id < edge THEN 'train' ELSE 'test' END AS part FROM o, e""",
     "sql_segment_longest": _segment_sql(LONGEST, _ALL),
     "sql_segment_rows": _segment_sql(LONGEST, _ALL),
     "sql_segment_random": """
