@@ -40,7 +40,8 @@ def design(largest: int, threshold: float, recall: float = RECALL) -> tuple[int,
 
 
 def hashed(reps: DataFrame, k: int, tables: int, seed: int, single: bool) -> DataFrame:
-    """(rep, mult, vec, codes, keys): codes, one per table, as bytes; keys, the buckets."""
+    """(label, dim, rep, mult, vec, codes, keys): dim, the number of components; codes, one per table, as bytes;
+    keys, the buckets within a label and a number of components."""
     kind = "<f4" if single else "<f8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,29 +64,29 @@ def hashed(reps: DataFrame, k: int, tables: int, seed: int, single: bool) -> Dat
                     h = (q * mult).reshape(len(own), tables, k).sum(axis=2)
                     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                     small = (h >> np.uint64(32)).astype("<u4")
-                    label = np.array([part.column(0)[j].as_py() for j in own], np.int64).view(np.uint64)
-                    whole = (h + np.arange(tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (label * np.uint64(0xD6E8FEB86659FD93))[:, None] ^ np.uint64(dim)
+                    whole = h + np.arange(tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                     for n, j in enumerate(own):
                         codes[j], keys[j] = small[n].tobytes(), whole[n].view(np.int64)
                 vec = [np.array(r, kind).tobytes() for r in rows]
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(vec, pa.binary()), pa.array(codes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["rep", "mult", "vec", "codes", "keys"])
+                dims = pa.array([len(r) for r in rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), dims, part.column(1), part.column(2), pa.array(vec, pa.binary()), pa.array(codes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["label", "dim", "rep", "mult", "vec", "codes", "keys"])
 
-    return reps.select(F.col("label").cast("long"), "rep", "mult", "embedding").mapInArrow(run, "rep long, mult long, vec binary, codes binary, keys array<long>")
+    return reps.select(F.col("label").cast("long"), "rep", "mult", "embedding").mapInArrow(run, "label long, dim int, rep long, mult long, vec binary, codes binary, keys array<long>")
 
 
 def links(blocks: DataFrame, threshold: float, single: bool) -> DataFrame:
-    """(u, v, n) of blocks (key, t, i, j, part, rep, mult, vec, codes): for each vector u with links first
+    """(u, v, n) of blocks (label, dim, key, t, i, j, part, rep, mult, vec, codes): for each vector u with links first
     met here, n vectors linked with it, and v the least it is joined with."""
     kind = "<f4" if single else "<f8"
 
     def group(rows: list[tuple]) -> tuple[list, list, list]:
         if len(rows) < 2:
             return [], [], []
-        t, i, j = rows[0][1:4]
-        part = np.array([r[4] for r in rows])
-        rep, mult = np.array([r[5] for r in rows]), np.array([r[6] for r in rows])
-        x = np.array([np.frombuffer(r[7], kind) for r in rows], np.float64)
-        codes = np.array([np.frombuffer(r[8], "<u4") for r in rows])
+        t, i, j = rows[0][3:6]
+        part = np.array([r[6] for r in rows])
+        rep, mult = np.array([r[7] for r in rows]), np.array([r[8] for r in rows])
+        x = np.array([np.frombuffer(r[9], kind) for r in rows], np.float64)
+        codes = np.array([np.frombuffer(r[10], "<u4") for r in rows])
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         near = x @ x.T >= threshold
         a, b = np.nonzero(np.triu(near, 1))
@@ -114,8 +115,8 @@ def links(blocks: DataFrame, threshold: float, single: bool) -> DataFrame:
         held: list[tuple] = []
         out: tuple[list, list, list] = ([], [], [])
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in range(9))):
-                if held and held[0][:4] != row[:4]:
+            for row in zip(*(b.column(c).to_pylist() for c in range(11))):
+                if held and held[0][:6] != row[:6]:
                     for x, y in zip(out, group(held)):
                         x += y
                     held = []
@@ -130,7 +131,8 @@ def links(blocks: DataFrame, threshold: float, single: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["u", "v", "n"])
 
     n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(n, "key", "i", "j").sortWithinPartitions("key", "t", "i", "j").mapInArrow(run, "u long, v long, n long")
+    group_by = ["label", "dim", "key", "t", "i", "j"]
+    return blocks.repartition(n, *group_by).sortWithinPartitions(*group_by).mapInArrow(run, "u long, v long, n long")
 
 
 def embed_dedup(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", recall: float = RECALL, block: int = BLOCK, seed: int = 7) -> DataFrame:
@@ -152,14 +154,15 @@ def embed_dedup(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     k, tables = design(largest, threshold, recall)
     flat = scratch.table(hashed(reps, k, tables, seed, single), "hashed")
-    keys = scratch.table(flat.select("rep", F.posexplode("keys").alias("t", "key")), "keys")
-    full = scratch.table(keys.groupBy("key", "t").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "full")
-    met = lookup(keys, full, ["key", "t"], "size", max(1, flat.count() * tables), inner=True)
+    bucket = ["label", "dim", "key", "t"]
+    keys = scratch.table(flat.select("label", "dim", "rep", F.posexplode("keys").alias("t", "key")), "keys")
+    full = scratch.table(keys.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "full")
+    met = lookup(keys, full, bucket, "size", max(1, flat.count() * tables), inner=True)
     parts = F.ceil(F.col("size") / F.lit(block)).cast("int")
     spread = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    spread = spread.select("key", "t", "rep", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    spread = spread.select("key", "t", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep")
-    blocks = spread.join(flat.select("rep", "mult", "vec", "codes"), "rep").select("key", "t", "i", "j", "part", "rep", "mult", "vec", "codes")
+    spread = spread.select(*bucket, "rep", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    spread = spread.select(*bucket, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep")
+    blocks = spread.join(flat.select("rep", "mult", "vec", "codes"), "rep").select(*bucket, "i", "j", "part", "rep", "mult", "vec", "codes")
     found = scratch.table(links(blocks, threshold, single), "links")
     count = found.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     group = components(found.select("u", "v"), scratch).select(F.col("node").alias("rep"), "component")

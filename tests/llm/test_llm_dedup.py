@@ -355,3 +355,16 @@ def test_pipeline_stages(spark, sf):
     assert ids["source_mixture"] == ids["near_duplicates"] == ids["token_ids"]
     assert seen["token_ids"].count() == seen["source_mixture"].count()
     assert all(len(r.ids) == 4 * r.n_tokens for r in seen["token_ids"].collect())
+
+
+def test_embeddings_of_two_labels_never_share_a_bucket(spark, monkeypatch):
+    """Also not where all buckets have one hash; vectors of other lengths don't meet either. Recall is that of all pairs."""
+    monkeypatch.setattr(embed_dedup, "design", lambda *_: (1, 3))
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=12)
+    rows = [(i, (base[: 8 + 4 * (i % 3 == 0)] + rng.normal(size=8 + 4 * (i % 3 == 0)) * 0.01).tolist(), i % 2) for i in range(48)]
+    out = embed_dedup.embed_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    group = {}
+    for i, v, lab in rows:
+        group.setdefault((lab, len(v)), []).append(i)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == {i: (len(own) - 1, min(own)) for own in group.values() for i in own}
