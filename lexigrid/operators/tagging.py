@@ -26,6 +26,8 @@ from ..sources import models
 
 #: Words of a tag dictionary that is broadcast. Larger ones are looked up by a join beforehand.
 BROADCAST_WORDS = 500_000
+#: Words of a tag dictionary that a model may hold on the driver.
+MOST_WORDS = 5_000_000
 
 
 def tag_counts(sents: DataFrame, tokens_col: str = "tokens") -> DataFrame:
@@ -113,7 +115,10 @@ class PerceptronTagger(Estimator, HasInputCol, HasOutputCol):
         counts = tag_counts(sents, "_tokens")
         classes = sorted(r.tag for r in counts.select("tag").distinct().collect())
         words = tag_dictionary(counts, get("frequencyThreshold"), get("ambiguityThreshold"))
-        tagdict = {r.word: r.tag for r in words.collect()}
+        found = words.limit(MOST_WORDS + 1).collect()
+        if len(found) > MOST_WORDS:
+            raise ValueError(f"the tag dictionary has more than {MOST_WORDS} words; raise frequencyThreshold")
+        tagdict = {r.word: r.tag for r in found}
         if get("mode") == "mixing":
             weights = self._mixed(sents, tagdict, classes)
         elif get("mode") == "exact":

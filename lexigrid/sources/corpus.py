@@ -71,6 +71,22 @@ def generated_tagged(spark: SparkSession, patterns: list[list[str]], words: dict
     return one.select("sent_id", F.transform("form", lambda t, i: F.struct(pick(t, i).alias("word"), t.alias("tag"))).alias("tokens"))
 
 
+def slash_tagged(spark: SparkSession, path: str, separator: str = "/") -> DataFrame:
+    """(file, line, tokens) of text files with a sentence a line and tokens as word/tag, apart by white space; the last
+    separator parts them, and fields after the tag follow `separator` too if a token ends with it (word/tag/more/).
+    A token without a tag has a null one; empty lines are left out. Lines are numbered in order, not in sequence."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "").alias("raw")).where(F.size("raw") > 0)
+    sep = F.lit(separator)
+
+    def token(t: Column) -> Column:
+        n = F.char_length(t) - F.char_length(F.substring_index(t, separator, -1))
+        plain = F.struct(F.when(n > 0, F.substr(t, F.lit(1), n - len(separator))).otherwise(t).alias("word"), F.when(n > 0, F.substring_index(t, separator, -1)).alias("tag"))
+        fields = F.split_part(t, sep, F.lit(1)), F.split_part(t, sep, F.lit(2))
+        return F.when(F.endswith(t, sep) & (F.char_length(t) > len(separator)), F.struct(fields[0].alias("word"), fields[1].alias("tag"))).otherwise(plain)
+
+    return rows.select("file", "line", F.transform("raw", token).alias("tokens"))
+
+
 def usable(df: DataFrame, least: int = 3, tokens_col: str = "tokens") -> DataFrame:
     """Sentences of at least `least` tokens that have a tag, without those that have none."""
     kept = F.filter(tokens_col, lambda t: t["tag"].isNotNull() & (t["tag"] != ""))

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from lexigrid.functions.kernels import Perceptron, features, make_tagdict, round3, segment_greedy, tag_words, train_pass
+from lexigrid.functions.kernels import Greedy, Perceptron, Scorer, features, make_tagdict, round3, segment_greedy, tag_words, train_pass
 from lexigrid.operators import AveragedPerceptronTagger, LongestStringMatching, RandomSegmenter
 
 TEXT = st.text(alphabet="abcé日😀 \n", max_size=30)
@@ -174,3 +174,25 @@ def test_missing_keys_and_files(tmp_path):
         t.load(str(tmp_path / "none.json"))
     with pytest.raises(OSError, match="Failed to create file"):
         t.save(str(tmp_path / "no" / "m.json"))
+
+
+@given(st.text(alphabet="abc日😀", max_size=30), st.sets(st.text(alphabet="abc日😀", min_size=1, max_size=6), max_size=12), st.integers(2, 6))
+def test_greedy_by_heads_is_the_same(text, words, longest):
+    assert Greedy(words, longest).cut(text) == segment_greedy(text, {w for w in words if len(w) > 1}, longest)
+
+
+def test_scorer_is_the_same_to_the_last_bit():
+    """Weights whose sums depend on their order, words that are empty or in the dictionary, ties, no classes."""
+    rng = random.Random(4)
+    tags, chars = ["A", "B", "C", "日"], ["a", "b", "日", "-", ""]
+    words = [x + y for x in chars for y in chars]
+    model = Perceptron(classes=tags)
+    for _ in range(400):
+        w = rng.choices(words, k=rng.randint(1, 5))
+        for f in features(w, rng.randrange(len(w)), rng.choice(tags), rng.choice(tags)):
+            model.weights.setdefault(f, {})[rng.choice([*tags, "gone"])] = rng.choice([0.1, 0.2, 0.3, -0.3, 1.7, 1e-17])
+    scorer, tagdict = Scorer(model.weights, tags), {"ab": "X"}
+    for _ in range(400):
+        w = rng.choices(words, k=rng.randint(0, 7))
+        assert scorer.tag(w, tagdict) == tag_words(w, model, tagdict)
+    assert Scorer({}, ()).tag(["a", "ab"], tagdict) == tag_words(["a", "ab"], Perceptron(), tagdict) == ["", "X"]

@@ -1,15 +1,17 @@
 import math
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexigrid.functions.columns import random_words, round3
-from lexigrid.functions.kernels import Perceptron, segment_greedy, tag_words, train_pass
+from lexigrid.functions.kernels import Perceptron, make_tagdict, segment_greedy, tag_words, train_pass
 from lexigrid.functions.sql import register_random, register_segmenter, register_tagger
 from lexigrid.operators import LongestMatch, LongestMatchModel, PerceptronTagger, PerceptronTaggerModel, RandomSegmenterTransformer, SequenceSet
 from lexigrid.operators.segment import trie_pattern
 from lexigrid.sources import corpus
 from lexigrid.streaming import read_text_stream, write_transformed
+from lexigrid.streaming.apply import word_counts
 
 
 def column(df, name):
@@ -133,6 +135,46 @@ def test_sql_and_stream(spark, tmp_path):
     assert {r.i: r.words for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: ["ab", "cd"], 2: ["x", "ab"]}
 
 
+def test_word_counts_by_event_time(spark, tmp_path):
+    """The window is written when the watermark has passed its end; a row that comes after that is dropped."""
+    model = LongestMatchModel(spark.createDataFrame([("ab",), ("cd",)], "word string"), 3, "regex")
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    schema = "ts timestamp, text string"
+    (tmp_path / "in").mkdir()
+    stream = read_text_stream(spark, str(tmp_path / "in"), schema, 1)
+    counted = word_counts(stream, model, "ts", late="5 minutes")
+    query = counted.writeStream.format("memory").queryName("lexigrid_counts").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        for rows in ([(at(1), "abcd"), (at(2), "abx")], [(at(40), "cd")], [(at(3), "ab")], [(at(59), "x")]):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            query.processAllAvailable()
+        got = {(r.window.start.minute, r.word): r.n for r in spark.table("lexigrid_counts").collect()}
+    finally:
+        query.stop()
+    assert got == {(0, "ab"): 2, (0, "cd"): 1, (0, "x"): 1, (40, "cd"): 1}
+
+
+def test_slash_tagged_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("The/at dog/nn 1/2/cd ./.\n\n  佢/r/keoi5/ 去/v/heoi3/ bare\n", encoding="utf-8")
+    rows = [[tuple(t) for t in r.tokens] for r in corpus.slash_tagged(spark, str(tmp_path)).orderBy("line").collect()]
+    assert rows == [[("The", "at"), ("dog", "nn"), ("1/2", "cd"), (".", ".")], [("佢", "r"), ("去", "v"), ("bare", None)]]
+
+
+def test_registered_trainer_equals_the_plain_one(spark, sf):
+    from lexigrid.plans import catalogue
+
+    sents = {}
+    for r in corpus.tagged(catalogue._turns(spark, sf)).collect():
+        sents[r.conv_id * 1_000_000 + r.turn] = [tuple(t) for t in r.tokens]
+    order = [sents[k] for k in sorted(sents)]
+    tagdict, classes = make_tagdict(order, 20, 0.97)
+    plain = Perceptron(classes=classes)
+    train_pass(plain, tagdict, order)
+    plain.average()
+    expected = {(f, c, w) for f, own in plain.weights.items() for c, w in (own.items() or [(None, None)])}
+    assert {tuple(r) for r in catalogue.pos_train(spark, sf).select("feature", "class", "weight").collect()} == expected
+
+
 def test_generated_corpora(spark):
     vocabulary = corpus.generated_vocabulary(spark, 30)
     sents = corpus.generated_sentences(spark, vocabulary, 30, 12)
