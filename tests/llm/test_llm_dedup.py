@@ -368,3 +368,16 @@ def test_embeddings_of_two_labels_never_share_a_bucket(spark, monkeypatch):
     for i, v, lab in rows:
         group.setdefault((lab, len(v)), []).append(i)
     assert {r.vec_id: (r.n_links, r.component_id) for r in out} == {i: (len(own) - 1, min(own)) for own in group.values() for i in own}
+
+
+def test_pipeline_runs_whole_and_on_an_empty_table(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    some = docs.where("doc_id < 14")
+    odd = spark.createDataFrame([(500, None, None, None, 0), (501, "", "en", "s", 0), (502, some.first().text, "en", "s", 0), (None, "words of no id at all", "en", "s", 0)], docs.schema)
+    some.unionByName(odd).write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    found = {r.doc_id for r in out}
+    assert {500, 501, 502}.isdisjoint(found) and found <= {None, *range(14)} and len(found) > 5
+    assert all(r.n_tokens > 0 and len(r.ids) == 4 * r.n_tokens for r in out)
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

@@ -283,3 +283,36 @@ def test_keep_known_is_relative_to_the_number_of_languages(spark):
     docs = spark.createDataFrame([(1, "clear"), (2, "even"), (3, None), (4, "1 2")], "doc_id long, text string")
     assert [r.doc_id for r in langid.keep_known(docs, Model()).collect()] == [1]
     assert langid.keep_known(docs, Model(), min_score=0.3).count() == 0
+
+
+def test_registered_queries_equal_the_libraries_on_the_whole_table(spark, sf):
+    from lexigrid.llm import queries
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    lib, pieces = Tokenizer.from_file(BYTE_BPE), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ids = {d: lib.encode(t, add_special_tokens=False).ids for d, t in texts.items()}
+    digest = lambda x: hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()
+    got = {tuple(r) for r in queries.op3_bpe(spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
+    assert got == {(d, len(x), digest(x), hashlib.sha256(lib.decode(x, skip_special_tokens=False).encode()).hexdigest()) for d, x in ids.items()}
+    expected, start = set(), 0
+    for d in sorted(ids):
+        x = [*ids[d], 2]
+        expected.add((d, start, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
+        start += len(x)
+    assert {tuple(r) for r in queries.op9_token_records(spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect()} == expected
+    counts = {d: len(pieces.encode(t)) for d, t in texts.items()}
+    got = {tuple(r) for r in queries.op10_token_counts(spark, sf).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()}
+    assert got == {(d, len(t.encode()), counts[d], counts[d] > 4096) for d, t in texts.items()}
+
+
+def test_registered_language_id(spark, sf):
+    """Held-out accuracy over the whole table; `und` just where no letter is; nothing held out is learned from."""
+    from lexigrid.llm import queries
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op4_language_id(spark, sf).collect()
+    assert {r.doc_id for r in got} == set(docs) and len(got) == len(docs)
+    held = [r for r in got if r.held_out and docs[r.doc_id].lang is not None]
+    assert {r.doc_id for r in got if r.held_out} == {d for d in docs if zlib.crc32(str(d).encode()) % 4 == 2}
+    assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) / len(held) > 0.97
+    assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in docs[r.doc_id].text or "")) for r in got)
