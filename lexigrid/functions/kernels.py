@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Collection, Iterable, Sequence
+from collections.abc import Collection, Iterable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 
 START, END = ("-START-", "-START2-"), ("-END-", "-END2-")
 
@@ -216,6 +219,93 @@ class Scorer:
         return out
 
 
+class BatchTagger:
+    """Scorer's tags for Arrow arrays of sentences, word after word of all sentences at once. Weights are rows of a
+    matrix for each slot, row 0 for what the model hasn't; they are added in the order of features()."""
+
+    #: Slots of tags, and tokens that are scored at once.
+    TAGS, TOKENS = (4, 7), 1 << 16
+
+    def __init__(self, weights: dict[str, dict[str, float]], tagdict: dict[str, str], classes: Iterable[str]):
+        scorer = Scorer(weights, classes)
+        self.classes, self.tagdict = scorer.classes, tagdict
+        self.bias = np.array(scorer.bias)
+        self.rows: list[dict[str, int]] = []
+        self.matrix: list[np.ndarray] = []
+        for table in scorer.tables:
+            m = np.zeros((len(table) + 1, len(self.classes)))
+            for r, pairs in enumerate(table.values(), 1):
+                for c, w in pairs:
+                    m[r, c] = w
+            self.rows.append({x: r for r, x in enumerate(table, 1)})
+            self.matrix.append(m)
+        # ids of tags: the classes, '' where there are none, other tags of the dictionary, and the two before a sentence
+        known = set(self.classes)
+        self.tags = [*self.classes, *sorted({t for t in tagdict.values() if t not in known} | ({""} - known)), *START]
+        self.tag_id = {t: i for i, t in reversed([*enumerate(self.tags)])}
+        self.tag_rows = {k: np.array([self.rows[k].get(t, 0) for t in self.tags]) for k in self.TAGS}
+        self.strings = pa.array(self.tags, pa.string())
+
+    def tag(self, sents: pa.Array) -> pa.Array:
+        """array<string> of words -> array<string> of tags."""
+        offsets = sents.offsets.to_numpy().astype(np.int64)
+        begin, size = offsets[:-1], np.diff(offsets)
+        if sents.null_count:
+            size = np.where(sents.is_valid().to_numpy(zero_copy_only=False), size, 0)
+        codes = sents.values.dictionary_encode()
+        words = codes.dictionary.to_pylist()
+        code = codes.indices.to_numpy(zero_copy_only=False)
+        # rows of each word in the slots of characters; the sentinels around a sentence are one more word
+        ends = [(w[:1], w[-1:]) for w in [*words, START[0]]]
+        place = {k: np.array([self.rows[k].get(e[j], 0) for e in ends]) for k, j in zip((0, 1, 2, 3, 5, 6, 8, 9, 10, 11), (0, 1) * 5)}
+        fixed = np.array([self.tag_id[self.tagdict[w]] if w in self.tagdict else -1 for w in words] or [-1])
+        out = np.zeros(len(code), np.int64)
+        for part in self._slices(size):
+            self._tag(code, begin[part], size[part], len(words), place, fixed, out)
+        tags = self.strings.take(pa.array(out))
+        mask = sents.is_null() if sents.null_count else None
+        return pa.ListArray.from_arrays(sents.offsets, tags, mask=mask)
+
+    def _slices(self, size: np.ndarray) -> Iterator[np.ndarray]:
+        """Sentences, the longest first, of about TOKENS tokens."""
+        order = np.argsort(-size, kind="stable")
+        order = order[size[order] > 0]
+        group = (np.cumsum(size[order]) - 1) // self.TOKENS
+        yield from np.split(order, np.flatnonzero(np.diff(group)) + 1) if len(order) else ()
+
+    def _tag(self, code: np.ndarray, begin: np.ndarray, size: np.ndarray, none: int, place: dict[int, np.ndarray], fixed: np.ndarray, out: np.ndarray) -> None:
+        n, m = len(size), self.matrix
+        prev, prev2 = (np.full(n, len(self.tags) - 2 + i) for i in (0, 1))
+        for i in range(int(size[0])):
+            live = int(np.searchsorted(-size, -i, "left"))  # the sentences are in order of their size
+            at = begin[:live] + i
+            own = code[at]
+            tag = fixed[own].copy()
+            open_ = np.flatnonzero(tag < 0)
+            if len(open_) and not self.classes:
+                tag[open_] = self.tag_id[""]
+            elif len(open_):
+                a, left = at[open_], size[:live][open_] - i
+                word = own[open_]
+                around = {d: code[a + d] if i + d >= 0 else np.full(len(a), none) for d in (-1, -2)}
+                around |= {d: np.where(left > d, code[np.minimum(a + d, len(code) - 1)], none) for d in (1, 2)}
+                s = self.bias + m[0][place[0][word]]
+                s += m[1][place[1][word]]
+                s += m[2][place[2][around[-1]]]
+                s += m[3][place[3][around[-1]]]
+                s += m[4][self.tag_rows[4][prev[:live][open_]]]
+                s += m[5][place[5][around[-2]]]
+                s += m[6][place[6][around[-2]]]
+                s += m[7][self.tag_rows[7][prev2[:live][open_]]]
+                s += m[8][place[8][around[1]]]
+                s += m[9][place[9][around[1]]]
+                s += m[10][place[10][around[2]]]
+                s += m[11][place[11][around[2]]]
+                tag[open_] = len(self.classes) - 1 - np.argmax(s[:, ::-1], axis=1)
+            out[at] = tag
+            prev2[:live], prev[:live] = prev[:live], tag
+
+
 def tag_words(words: Sequence[str], model: Perceptron, tagdict: dict[str, str]) -> list[str]:
     """Tags from left to right; a word in the dictionary never reaches the model."""
     out: list[str] = []

@@ -21,7 +21,7 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, Ty
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import Perceptron, Scorer, make_tagdict, train_pass
+from ..functions.kernels import BatchTagger, Perceptron, Scorer, make_tagdict, train_pass
 from ..sources import models
 
 #: Words of a tag dictionary that is broadcast. Larger ones are looked up by a join beforehand.
@@ -197,10 +197,7 @@ def tagging(shared):
 
     @F.arrow_udf("array<string>")
     def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        weights, tagdict, classes = shared.value
-        model = Scorer(weights, classes)
-        for sents in batches:
-            yield pa.array([None if s is None else model.tag(s, tagdict) for s in sents.to_pylist()], pa.list_(pa.string()))
+        yield from map(BatchTagger(*shared.value).tag, batches)
 
     return tag
 

@@ -1,10 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from lexigrid.functions.kernels import Greedy, Perceptron, Scorer, features, make_tagdict, round3, segment_greedy, tag_words, train_pass
+from lexigrid.functions.kernels import BatchTagger, Greedy, Perceptron, Scorer, features, make_tagdict, round3, segment_greedy, tag_words, train_pass
 from lexigrid.operators import AveragedPerceptronTagger, LongestStringMatching, RandomSegmenter
 
 TEXT = st.text(alphabet="abcé日😀 \n", max_size=30)
@@ -191,8 +192,16 @@ def test_scorer_is_the_same_to_the_last_bit():
         w = rng.choices(words, k=rng.randint(1, 5))
         for f in features(w, rng.randrange(len(w)), rng.choice(tags), rng.choice(tags)):
             model.weights.setdefault(f, {})[rng.choice([*tags, "gone"])] = rng.choice([0.1, 0.2, 0.3, -0.3, 1.7, 1e-17])
-    scorer, tagdict = Scorer(model.weights, tags), {"ab": "X"}
-    for _ in range(400):
-        w = rng.choices(words, k=rng.randint(0, 7))
-        assert scorer.tag(w, tagdict) == tag_words(w, model, tagdict)
+    scorer, tagdict = Scorer(model.weights, tags), {"ab": "X", "ba": "A"}
+    sents = [rng.choices(words, k=rng.randint(0, 7)) for _ in range(400)]
+    expected = [tag_words(w, model, tagdict) for w in sents]
+    assert [scorer.tag(w, tagdict) for w in sents] == expected
+    batch = pa.array([None, *sents, None], pa.list_(pa.string()))
+    tagger = BatchTagger(model.weights, tagdict, tags)
+    assert tagger.tag(batch).to_pylist() == [None, *expected, None]
+    assert tagger.tag(batch.slice(5, 100)).to_pylist() == expected[4:104]
+    tagger.TOKENS = 7
+    assert tagger.tag(batch).to_pylist() == [None, *expected, None]
+    assert BatchTagger({}, {"ab": "X"}, ()).tag(pa.array([["a", "ab"], []])).to_pylist() == [["", "X"], []]
+    assert BatchTagger({}, {}, ()).tag(pa.array([[], None], pa.list_(pa.string()))).to_pylist() == [[], None]
     assert Scorer({}, ()).tag(["a", "ab"], tagdict) == tag_words(["a", "ab"], Perceptron(), tagdict) == ["", "X"]
