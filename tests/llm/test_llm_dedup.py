@@ -218,7 +218,8 @@ def plain_links(texts, threshold=0.6):
 def test_all_links_of_a_table_are_found_at_any_ratio_of_sizes(spark, sf, folder):
     docs = spark.read.parquet(f"{os.path.dirname(sf)}/{folder}/documents.parquet").select("doc_id", "text")
     expected = plain_links([tuple(r) for r in docs.collect()])
-    links, *_ = minhash.all_links(docs, Scratch(spark, "recall"), 0.6, 1.25)
+    _, _, close, wide, twins = minhash.all_links(docs, Scratch(spark, "recall"), 0.6, 1.25)
+    links = close.select("x", "y").union(twins.join(wide, "x").select("node", "y"))
     got = {tuple(sorted((r.x, r.y))) for r in links.collect()}
     near = {tuple(sorted(x[:2])) for x in expected if x[3] <= 1.25 * x[2]}
     far = {tuple(sorted(x[:2])) for x in expected} - near
@@ -231,10 +232,12 @@ def test_a_short_document_in_many_long_ones_is_named_but_joins_no_class(spark):
     rng = random.Random(8)
     passage = [f"p{i}" for i in range(40)]
     rows = [(1, " ".join(passage)), (2, " ".join(["x", *passage[:36]]))]
+    rows += [(d, " ".join([f"e{d}", *passage[30:40]])) for d in (3, 4)]  # one size and the same shared shingles
     rows += [(10 + i, " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(200)), *passage, *(f"w{rng.randrange(10**6)}" for _ in range(160))])) for i in range(60)]
     out = {r.doc_id: r for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert (out[1].n_links, out[1].container_id, out[1].class_id, out[2].class_id) == (61, 10, 1, 1)
-    assert all(out[d].kept and out[d].n_links == 2 and out[d].container_id is None for d in out if d >= 10)
+    assert (out[1].n_links, out[1].container_id, out[1].class_id, out[2].class_id) == (63, 10, 1, 1)
+    assert out[3].n_links == out[4].n_links == 62 and out[4].class_id == 3 and out[4].container_id == 1
+    assert all(out[d].kept and out[d].n_links == 4 and out[d].container_id is None for d in out if d >= 10)
 
 
 def test_banding_is_tuned_to_the_sizes():
