@@ -384,3 +384,15 @@ def test_pipeline_runs_whole_and_on_an_empty_table(spark, sf, tmp_path):
     assert all(r.n_tokens > 0 and len(r.ids) == 4 * r.n_tokens for r in out)
     docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_pairs_checked_in_cells_are_those_checked_one_by_one(spark, monkeypatch):
+    """A third of the pairs have one larger set, which is spread over several cells."""
+    monkeypatch.setattr(minhash, "SPREAD", 20)
+    scratch = Scratch(spark, "cells")
+    sets = scratch.table(spark.range(400).selectExpr("id as node", "3L as n", "3L as k", "array(id % 7, 100 + id % 5, 200 + id % 3) as s"), "sets")
+    pairs = scratch.table(spark.range(2000).selectExpr("id % 97 as x", "100 + if(id % 3 = 0, 0, id % 290) as y").distinct(), "pairs")
+    setting = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    got = {tuple(r) for r in minhash.checked_in_cells(pairs, sets, sets, scratch, 0.6).collect()}
+    assert got == {tuple(r) for r in minhash.checked(pairs, sets, scratch, "plain", 0.6).collect()} and len(got) > 100
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == setting
