@@ -25,8 +25,8 @@ from .common import raw, slices, text_bytes
 
 #: The split of byte-level BPE files with `use_regex`.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Fragments that a worker remembers.
-MEMO = 400_000
+#: Fragments that a worker remembers, and that it handles at once: as objects they take many times their bytes.
+MEMO, BLOCK = 200_000, 32_768
 
 
 def byte_of_char() -> dict[str, int]:
@@ -105,10 +105,18 @@ class Codec:
         here = np.concatenate([[False], self.cuts(np.frombuffer(data, np.uint8)), [True]])
         here[at] = True
         bounds = np.flatnonzero(here[1:]) + 1
-        ends = bounds.tolist()
-        found = [*map(self.memo.__getitem__, [data[a:b] for a, b in zip([0, *ends], ends)])]
-        k = np.searchsorted(bounds, at, "right").tolist()
-        return [b"".join(found[a:b]) for a, b in zip(k, k[1:])]
+        over = np.searchsorted(bounds, at[1:], "right").tolist()  # fragments up to each text's end
+        out, parts, i, begin = [], [], 0, 0
+        for a in range(0, len(bounds), BLOCK):
+            ends = bounds[a : a + BLOCK].tolist()
+            found = [*map(self.memo.__getitem__, [data[x:y] for x, y in zip([begin, *ends], ends)])]
+            begin, k = ends[-1], 0
+            while i < len(over) and over[i] <= a + len(ends):
+                parts.append(b"".join(found[k : over[i] - a]))
+                out.append(b"".join(parts))
+                parts, k, i = [], over[i] - a, i + 1
+            parts.append(b"".join(found[k:]))  # of a text that goes on in the next block
+        return out
 
     def encode(self, text: str) -> list[int]:
         data = text.encode()

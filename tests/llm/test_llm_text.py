@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -42,6 +43,23 @@ def test_codec_equals_the_library():
     assert own.decode(cut) == lib.decode([0, 200, 50_256, 30_000], skip_special_tokens=False)
 
 
+def test_codec_handles_a_slice_in_blocks(monkeypatch):
+    own = bpe.Codec(BYTE_BPE)
+    texts = ["", *strings(300, seed=3), ""]
+    data = [t.encode() for t in texts]
+    whole = own.encode_all(b"".join(data), np.cumsum([0, *map(len, data)]))
+    for block in (1, 7):
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        assert own.encode_all(b"".join(data), np.cumsum([0, *map(len, data)])) == whole
+    monkeypatch.undo()
+    slice_ = b"a few short words " * (2**22 // 18)
+    tracemalloc.start()
+    own.encode_all(slice_, np.array([0, len(slice_)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+
+
 def test_bpe_operator(spark, docs):
     lib = Tokenizer.from_file(BYTE_BPE)
     for r in bpe.digest(bpe.encode(docs, BYTE_BPE, decoded=True)).collect():
