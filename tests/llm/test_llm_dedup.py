@@ -396,3 +396,24 @@ def test_pairs_checked_in_cells_are_those_checked_one_by_one(spark, monkeypatch)
     got = {tuple(r) for r in minhash.checked_in_cells(pairs, sets, sets, scratch, 0.6).collect()}
     assert got == {tuple(r) for r in minhash.checked(pairs, sets, scratch, "plain", 0.6).collect()} and len(got) > 100
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == setting
+
+
+def test_of_larger_sets_only_shingles_that_are_asked_for_are_moved(spark, monkeypatch):
+    """Long documents of one size share most of their text; one passage of theirs is also a document, in other words too."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    common, hot = [word() for _ in range(200)], [word() for _ in range(22)]
+    rows = [(i, " ".join([*common, *hot, *(word() for _ in range(20))])) for i in range(12)]
+    rows += [(100, " ".join(hot)), (101, " ".join([*hot[:18], *(word() for _ in range(4))])), (102, " ".join([*hot[:8], *(word() for _ in range(14))]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    moved, check = [], minhash.checked_in_cells
+
+    def spy(pairs, small, sets, *rest):
+        moved.append([{r.x for r in pairs.collect()}, *(sum(len(r.s) for r in t.select("s").collect()) for t in (small, sets))])
+        return check(pairs, small, sets, *rest)
+
+    monkeypatch.setattr(minhash, "checked_in_cells", spy)
+    _, _, _, far, twins = minhash.all_links(docs, Scratch(spark, "moved"), 0.6, 1.25)
+    got = {tuple(sorted((r.x, r.y))) for r in twins.join(far, "x").select(twins["node"].alias("x"), "y").collect()}
+    assert got == {tuple(sorted(x[:2])) for x in plain_links(rows) if x[3] > 1.25 * x[2]} and len(got) == 24
+    assert moved[0][0] == {100, 101} and sum(moved[0][1:]) < 400
