@@ -54,10 +54,11 @@ def generated_vocabulary(spark: SparkSession, size: int, shortest: int = 2, long
 
 
 def generated_sentences(spark: SparkSession, vocabulary: DataFrame, n_words: int, sentences: int, shortest: int = 5, longest: int = 20, seed: int = 0) -> DataFrame:
-    """(sent_id, words, text): words drawn from a vocabulary of n_words, and their concatenation."""
+    """(sent_id, words, text): words drawn from a vocabulary of n_words, and their concatenation. Both sides of
+    the join grow with the corpus, so neither is broadcast, however small Spark takes them to be."""
     size = F.lit(shortest) + F.floor(draw(seed, F.col("id"), F.lit("n")) * (longest - shortest + 1)).cast("int")
     places = spark.range(sentences).select(F.col("id").alias("sent_id"), F.explode(F.sequence(F.lit(1), size)).alias("pos"), "id")
-    chosen = places.withColumn("word_id", F.floor(draw(seed, F.col("id"), F.col("pos"), F.lit("w")) * n_words)).join(vocabulary, "word_id")
+    chosen = places.withColumn("word_id", F.floor(draw(seed, F.col("id"), F.col("pos"), F.lit("w")) * n_words)).join(vocabulary.hint("merge"), "word_id")
     words = F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"])
     return chosen.groupBy("sent_id").agg(words.alias("words")).withColumn("text", F.array_join("words", ""))
 
