@@ -1,13 +1,16 @@
-"""Column expressions that stay in the JVM."""
+"""Column expressions; all but random_words() stay in the JVM."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .kernels import Cutter, slices
+
 
 def chars(text: Column) -> Column:
     """The code points of a text; none of ''."""
@@ -34,14 +37,9 @@ def draw(seed: int, *key: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once however often body uses it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def threshold(prob: float) -> str:
-    """The 8 hexadecimal digits below which a 32-bit number stands for a draw below prob."""
-    return f"{math.ceil(prob * (1 << 32)):08x}"
+def threshold(prob: float) -> int:
+    """The number below which a 32-bit number stands for a draw below prob."""
+    return math.ceil(prob * (1 << 32))
 
 
 def random_words(text: Column, prob: float, seed: int, *key: Column) -> Column:
@@ -49,19 +47,17 @@ def random_words(text: Column, prob: float, seed: int, *key: Column) -> Column:
     seed|key|p div 4, gives the draws of four places: its p mod 4-th 8 digits."""
     if prob <= 0:
         return F.when(text == "", F.array().cast("array<string>")).when(text.isNotNull(), F.array(text))
-    n = F.char_length(text)
-    hashes = F.transform(F.sequence(F.lit(0), (n / 4).cast("int")), lambda b: F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key], b.cast("string")).cast("binary")))
-
-    def before(h: Column, p: Column) -> Column:
-        return F.substr(F.get(h, (p / 4).cast("int")), p % 4 * 8 + 1, F.lit(8)) < F.lit(threshold(prob))
-
-    # one pass: a mark before each word, then a split; texts that hold the mark are cut by place
-    marked = let(hashes, lambda h: F.transform(chars(text), lambda c, i: F.when((i > 0) & before(h, i), F.concat(F.lit("\0"), c)).otherwise(c)))
-    cuts = F.when(n > 1, let(hashes, lambda h: F.filter(F.sequence(F.lit(1), n - 1), lambda p: before(h, p)))).otherwise(F.array().cast("array<int>"))
-    spans = lambda at: F.arrays_zip(F.concat(F.array(F.lit(0)), at).alias("a"), F.concat(at, F.array(n)).alias("b"))
-    placed = let(cuts, lambda at: F.transform(spans(at), lambda s: F.substr(text, s["a"] + 1, s["b"] - s["a"])))
-    words = F.when(F.instr(text, "\0") == 0, F.split(F.array_join(marked, ""), "\\x00", -1)).otherwise(placed)
-    return F.when(text == "", F.array().cast("array<string>")).when(text.isNotNull(), words)
+    below = threshold(prob)
+
+    # some microseconds a character as lambda functions, which Spark interprets; most of the time here is MD5's
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        cutter = Cutter(below)
+        for texts, starts in batches:
+            for at in slices(texts):
+                yield cutter.cut(texts[at], [s.encode() for s in starts[at].to_pylist()])
+
+    return cut(text, F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key], F.lit("")))
 
 
 def round3(x: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections.abc import Collection, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 START, END = ("-START-", "-START2-"), ("-END-", "-END2-")
 
@@ -75,6 +77,59 @@ def segment_random(text: str, prob: float, rng: random.Random) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+#: Bytes of text, and texts, that are handled at once: what a batch becomes in Python takes many times its size.
+SLICE_BYTES, SLICE_ROWS = 1 << 18, 4096
+
+
+def slices(texts: pa.Array) -> Iterator[slice]:
+    """Places of an array of strings, in order, in runs of about SLICE_BYTES; a longer text is a run of its own."""
+    size = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(size)])
+    at, n = 0, len(size)
+    while at < n:
+        end = int(np.searchsorted(total, total[at] + SLICE_BYTES, "right")) - 1
+        end = min(max(end, at + 1), at + SLICE_ROWS, n)
+        yield slice(at, end)
+        at = end
+
+
+class Cutter:
+    """Cuts texts by the draws of columns.random_words(), which prob and a text's prefix (seed|key|) fix."""
+
+    def __init__(self, below: int):
+        """below: draws of 32 bits that are smaller cut."""
+        self.below = below
+        self.numbers = [b"%d" % b for b in range(1024)]
+
+    def cut(self, texts: pa.Array, prefixes: Sequence[bytes]) -> pa.Array:
+        """array<string> of the texts' words; null for null. The words are parts of the texts' own buffer."""
+        valid = texts.is_valid().to_numpy(zero_copy_only=False)
+        kept = [t.encode() for t in texts.to_pylist() if t is not None]
+        data = b"".join(kept)
+        raw = np.frombuffer(data, np.uint8)
+        first = np.flatnonzero((raw & 0xC0) != 0x80)  # bytes at which characters begin
+        ends = np.cumsum([0, *map(len, kept)])
+        edges = np.searchsorted(first, ends)  # the same in characters
+        cuts = np.zeros(len(first), bool)
+        md5 = hashlib.md5
+        for a, b, prefix in zip(edges[:-1].tolist(), edges[1:].tolist(), (p for p, v in zip(prefixes, valid) if v)):
+            if b > a:
+                blocks = (b - a + 3) // 4
+                while blocks > len(self.numbers):
+                    self.numbers += [b"%d" % i for i in range(len(self.numbers), 2 * len(self.numbers))]
+                draws = b"".join([md5(prefix + i, usedforsecurity=False).digest() for i in self.numbers[:blocks]])
+                cuts[a:b] = np.frombuffer(draws, ">u4")[: b - a] < self.below
+                cuts[a] = True
+        words = np.append(first[cuts], len(data)).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(words) - 1, pa.py_buffer(words), pa.py_buffer(data))
+        per = np.zeros(len(texts) + 1, np.int32)
+        counts = np.concatenate([[0], np.cumsum(cuts)])[edges]
+        per[1:][valid] = np.diff(counts)
+        lists = np.cumsum(per, dtype=np.int32)
+        mask = pa.array(~valid) if texts.null_count else None
+        return pa.ListArray.from_arrays(pa.array(lists), found, mask=mask)
+
+
 def context(words: Sequence[str], i: int) -> tuple[str, str, str, str]:
     """The words two before, one before, one after and two after place i, with sentinels."""
     before2 = words[i - 2] if i >= 2 else START[0] if i == 1 else START[1]

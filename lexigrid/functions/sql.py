@@ -8,17 +8,16 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.segment import LongestMatchModel, segmenter, valid_prob
 from ..operators.tagging import BROADCAST_WORDS, PerceptronTaggerModel, tagging
 from .columns import threshold
-from .kernels import Greedy
+from .kernels import Cutter, Greedy, slices
 
 
 def _words(spark: SparkSession, model: LongestMatchModel):
@@ -49,16 +48,12 @@ def register_random(spark: SparkSession, prob: float, seed: int = 0) -> None:
     valid_prob(prob)
     below = threshold(prob)
 
-    @F.pandas_udf("array<string>")
-    def segment_random(key: pd.Series, text: pd.Series) -> pd.Series:
-        def cut(k, t: str | None) -> list[str] | None:
-            if not t:
-                return None if t is None else []
-            hashes = [hashlib.md5(f"{seed}|{k}|{b}".encode()).hexdigest() for b in range(len(t) // 4 + 1)]
-            at = [p for p in range(1, len(t)) if hashes[p // 4][p % 4 * 8 : p % 4 * 8 + 8] < below]
-            return [t[a:b] for a, b in zip([0, *at], [*at, len(t)])]
-
-        return pd.Series([cut(k, t) for k, t in zip(key, text)], dtype=object)
+    @F.arrow_udf("array<string>")
+    def segment_random(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        cutter = Cutter(below)
+        for keys, texts in batches:
+            for at in slices(texts):
+                yield cutter.cut(texts[at], [f"{seed}|{k}|".encode() for k in keys[at].to_pylist()])
 
     spark.udf.register("segment_random", segment_random)
 
