@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import random_words
-from ..functions.kernels import Greedy, segment_lengths, segment_random
+from ..functions.kernels import Greedy, segment_lengths, segment_random, slices
 
 #: Characters of all words of a vocabulary that is broadcast (about 100 MB in a worker), and nodes of one
 #: that becomes a pattern: matching slows down sharply somewhere beyond 70 thousand.
@@ -154,22 +154,23 @@ def segmenter(words, longest: int):
     @F.arrow_udf("array<string>")
     def segment(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         greedy = Greedy(words.value, longest)
-        for texts in batches:
-            out: list[str] = []
-            ends: list[int | None] = [0]
-            for t in texts.to_pylist():
-                if t is None:
-                    ends[-1] = None  # a null offset is a null list
-                else:
-                    greedy.add_words(t, out)
-                ends.append(len(out))
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.string()))
+        for batch in batches:
+            for at in slices(batch):
+                out: list[str] = []
+                ends: list[int | None] = [0]
+                for t in batch[at].to_pylist():
+                    if t is None:
+                        ends[-1] = None  # a null offset is a null list
+                    else:
+                        greedy.add_words(t, out)
+                    ends.append(len(out))
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.string()))
 
     return segment
 
 
 class RandomSegmenterTransformer(Transformer, HasInputCol, HasOutputCol):
-    """Cuts text at random places that a seed and the row's key columns fix, in the JVM alone."""
+    """Cuts text at random places that a seed and the row's key columns fix."""
 
     prob = Param(Params._dummy(), "prob", "chance of a boundary between two characters", TypeConverters.toFloat)
     seed = Param(Params._dummy(), "seed", "of the draws", TypeConverters.toInt)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pyarrow as pa
@@ -5,7 +6,8 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from lexigrid.functions.kernels import BatchTagger, Greedy, Perceptron, Scorer, features, make_tagdict, round3, segment_greedy, tag_words, train_pass
+from lexigrid.functions import kernels
+from lexigrid.functions.kernels import BatchTagger, Cutter, Greedy, Perceptron, Scorer, features, make_tagdict, round3, segment_greedy, tag_words, train_pass
 from lexigrid.operators import AveragedPerceptronTagger, LongestStringMatching, RandomSegmenter
 
 TEXT = st.text(alphabet="abcé日😀 \n", max_size=30)
@@ -205,3 +207,31 @@ def test_scorer_is_the_same_to_the_last_bit():
     assert BatchTagger({}, {"ab": "X"}, ()).tag(pa.array([["a", "ab"], []])).to_pylist() == [["", "X"], []]
     assert BatchTagger({}, {}, ()).tag(pa.array([[], None], pa.list_(pa.string()))).to_pylist() == [[], None]
     assert Scorer({}, ()).tag(["a", "ab"], tagdict) == tag_words(["a", "ab"], Perceptron(), tagdict) == ["", "X"]
+
+
+@given(st.lists(st.none() | st.text("ab é日😀\0\n", max_size=30), max_size=8), st.integers(0, 1 << 32))
+def test_cutter_equals_a_plain_version(texts, below):
+    def plain(t, prefix):
+        draw = lambda p: int(hashlib.md5(prefix + b"%d" % (p // 4)).hexdigest()[p % 4 * 8 :][:8], 16)
+        cuts = [0, *(p for p in range(1, len(t)) if draw(p) < below), len(t)]
+        return [t[a:b] for a, b in zip(cuts, cuts[1:])] if t else []
+
+    keys = [b"7|%d|" % i for i in range(len(texts))]
+    assert Cutter(below).cut(pa.array(texts, pa.string()), keys).to_pylist() == [None if t is None else plain(t, k) for t, k in zip(texts, keys)]
+
+
+def test_batches_are_handled_in_slices(monkeypatch):
+    monkeypatch.setattr(kernels, "SLICE_BYTES", 10)
+    texts = pa.array(["abc", None, "", "日本語", "x" * 50, "ab", "c"])
+    found = [texts[at].to_pylist() for at in kernels.slices(texts)]
+    assert [t for part in found for t in part] == texts.to_pylist() and found == [["abc", None, ""], ["日本語"], ["x" * 50], ["ab", "c"]]
+    assert [*kernels.slices(texts[:0])] == []
+
+
+def test_segmenters_hold_no_more_than_a_slice(spark, monkeypatch):
+    from lexigrid.operators.segment import segmenter
+
+    monkeypatch.setattr(kernels, "SLICE_BYTES", 10)
+    words = type("Shared", (), {"value": frozenset({"ab"})})
+    parts = [*segmenter(words, 2).func(iter([pa.array(["abc", None, "", "cab" * 9, "ab"])]))]
+    assert len(parts) > 1 and [w for p in parts for w in p.to_pylist()] == [["ab", "c"], None, [], ["c", "ab"] * 9, ["ab"]]
