@@ -2,8 +2,8 @@
 
 Counting, thresholds and features are distributed. Tagging is row-local with the model broadcast: it
 is bounded by (characters and tags) x classes, and the dictionary is measured before it is sent.
-Training in the exact order is one chain of updates by definition, so `mode="exact"` gathers the corpus
-in one task and refuses more than `maxTokens`; `mode="mixing"` trains any corpus in place: each pass
+Training in the exact order is one chain of updates by definition, so `mode="exact"` goes through one
+task: a single pass streams the words outside the dictionary, several gather the corpus and refuse more than `maxTokens`; `mode="mixing"` trains any corpus in place: each pass
 every partition goes on from the common weights, and their means are the next ones (iterative
 parameter mixing, McDonald, Hall and Mann 2010), which gives other weights.
 """
@@ -15,19 +15,22 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import BatchTagger, Perceptron, Scorer, make_tagdict, train_pass
+from ..functions.kernels import START, BatchTagger, Perceptron, Scorer, features, make_tagdict, train_pass
 from ..sources import models
 
 #: Words of a tag dictionary that is broadcast. Larger ones are looked up by a join beforehand.
 BROADCAST_WORDS = 500_000
 #: Words of a tag dictionary that a model may hold on the driver.
 MOST_WORDS = 5_000_000
+#: Sentences of which the open words are listed at once.
+SENTENCES = 1000
 
 
 def tag_counts(sents: DataFrame, tokens_col: str = "tokens") -> DataFrame:
@@ -122,14 +125,75 @@ class PerceptronTagger(Estimator, HasInputCol, HasOutputCol):
         if get("mode") == "mixing":
             weights = self._mixed(sents, tagdict, classes)
         elif get("mode") == "exact":
-            if (total or 0) > get("maxTokens"):
+            # a single pass streams, so it has no such limit
+            if get("nIter") > 1 and (total or 0) > get("maxTokens"):
                 raise ValueError(f"{total} tokens are too many for one task; mode='mixing' trains them where they are")
             weights = self._exact(sents, tagdict, classes)
         else:
             raise ValueError(f"no such mode: {get('mode')}")
         return PerceptronTaggerModel(weights, tagdict, classes)._set(inputCol=self.getInputCol(), outputCol=self.getOutputCol())
 
+    def _one_pass(self, sents: DataFrame, tagdict: dict[str, str], classes: list[str]) -> dict[str, dict[str, float]]:
+        """The exact first pass, streamed in order through one task. Words of the dictionary change nothing, so only
+        the others are moved, each with its context; an earlier tag that the dictionary hasn't is the guess before."""
+        shared = sents.sparkSession.sparkContext.broadcast(tagdict)
+
+        def open_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value.get
+            for batch in batches:
+                for at in range(0, batch.num_rows, SENTENCES):
+                    part = batch.slice(at, SENTENCES)
+                    sent, place, truth, values = [], [], [], []
+                    lists = part.column("_tokens")
+                    flat = lists.flatten()
+                    words, tags = flat.field(0).to_pylist(), flat.field(1).to_pylist()
+                    end = 0
+                    for i, n in enumerate(pc.list_value_length(lists).to_pylist()):
+                        begin, end = end, end + (n or 0)
+                        own = words[begin:end]
+                        book = [known(w) for w in own]
+                        for j, tag in enumerate(book):
+                            if tag is None:
+                                prev = book[j - 1] if j else START[0]
+                                prev2 = book[j - 2] if j > 1 else START[1 - j]
+                                # features() with tags left open ends where values of a tag would be
+                                found = features(own, j, "", "")
+                                found[5] = None if prev is None else found[5] + prev
+                                found[8] = None if prev2 is None else found[8] + prev2
+                                sent.append(i)
+                                place.append(j)
+                                truth.append(tags[begin + j])
+                                values.append(found)
+                    if sent:
+                        at_rows = part.select(["_order", "_row"]).take(pa.array(sent))
+                        yield pa.RecordBatch.from_arrays([*at_rows.columns, pa.array(place, pa.int32()), pa.array(truth, pa.string()), pa.array(values, pa.list_(pa.string()))], ["_order", "_row", "_place", "truth", "features"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = Perceptron(classes=classes)
+            row, guesses = None, {}
+            for batch in batches:
+                columns = [batch.column(c).to_pylist() for c in ("_row", "_place", "truth", "features")]
+                for at, j, truth, feats in zip(*columns):
+                    if at != row:
+                        row, guesses = at, {}
+                    if feats[5] is None:
+                        feats[5] = f"i-1 tag {guesses[j - 1]}"
+                    if feats[8] is None:
+                        feats[8] = f"i-2 tag {guesses[j - 2]}"
+                    guess = guesses[j] = model.predict(feats)
+                    model.update(truth, guess, feats)
+            model.average()
+            yield pa.RecordBatch.from_pandas(as_rows(model.weights), schema=pa.schema([("feature", pa.string()), ("class", pa.string()), ("weight", pa.float64())]), preserve_index=False)
+
+        numbered = sents.withColumn("_row", F.monotonically_increasing_id())
+        kind = numbered.schema["_order"].dataType.simpleString()
+        rows = numbered.mapInArrow(open_tokens, f"_order {kind}, _row long, _place int, truth string, features array<string>")
+        chain = rows.repartition(1).sortWithinPartitions(F.asc_nulls_last("_order"), "_row", "_place")
+        return from_rows(chain.mapInArrow(run, "feature string, class string, weight double").collect())
+
     def _exact(self, sents: DataFrame, tagdict: dict[str, str], classes: list[str]) -> dict[str, dict[str, float]]:
+        if self.getOrDefault("nIter") == 1:
+            return self._one_pass(sents, tagdict, classes)
         n_iter, seed = self.getOrDefault("nIter"), self.getOrDefault("seed")
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:

@@ -208,3 +208,12 @@ def test_long_arrays_prefixes_are_not_moved(spark):
 def test_generated_sentences_broadcast_nothing(spark):
     made = corpus.generated_sentences(spark, corpus.generated_vocabulary(spark, 30), 30, 12)
     assert "BroadcastExchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_exact_pass_has_no_limit(spark):
+    for threshold in (4, 99):
+        model = PerceptronTagger(frequencyThreshold=threshold, ambiguityThreshold=0.9, nIter=1, maxTokens=3).fit(tagged(spark))
+        plain = Perceptron(classes=model.classes)
+        train_pass(plain, model.tagdict, SENTS)
+        plain.average()
+        assert model.weights == plain.weights
