@@ -13,6 +13,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -91,6 +92,30 @@ def best_class(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys).agg(F.max(F.struct("score", "class")).alias("top")).select(*keys, F.col("top.class").alias("tag"), F.col("top.score").alias("score"))
 
 
+def scoring(shared):
+    """A UDF features -> best_class() of the sums of their weights, with broadcast weights of which each token meets
+    some; in Arrow batches."""
+
+    @F.arrow_udf("struct<tag:string,score:double>")
+    def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        weights = shared.value
+        classes = sorted({c for own in weights.values() for c in own}, reverse=True)  # so that argmax takes the largest
+        for lists in batches:
+            codes = lists.flatten().dictionary_encode()
+            table = np.array([[weights.get(f, {}).get(c, np.nan) for c in classes] for f in codes.dictionary.to_pylist()]).reshape(-1, len(classes))
+            own = table[codes.indices.to_numpy(zero_copy_only=False)]
+            begin = np.cumsum([0, *pc.list_value_length(lists).to_pylist()])[:-1]
+            if not len(begin):
+                yield pa.array([], pa.struct([("tag", pa.string()), ("score", pa.float64())]))
+                continue
+            # a class counts where a feature has a weight for it
+            score = np.where(np.add.reduceat(~np.isnan(own), begin, dtype=int) > 0, np.add.reduceat(np.nan_to_num(own), begin), -np.inf)
+            top = np.argmax(score, axis=1)
+            yield pa.StructArray.from_arrays([pa.array(classes, pa.string()).take(pa.array(top)), pa.array(score[np.arange(len(top)), top])], ["tag", "score"])
+
+    return best
+
+
 class PerceptronTagger(Estimator, HasInputCol, HasOutputCol):
     """Trains on sentences of tokens (array<struct<word, tag>>) in the order of orderCol."""
 

@@ -12,7 +12,7 @@ from ..functions import sql
 from ..functions.columns import prefixes, random_words, round3
 from ..operators.segment import LongestMatch, LongestMatchModel
 from ..operators.sequences import SequenceSet
-from ..operators.tagging import PerceptronTagger, PerceptronTaggerModel, best_class, contexts, feature_columns, tag_counts, tag_dictionary
+from ..operators.tagging import PerceptronTagger, PerceptronTaggerModel, contexts, feature_columns, scoring, tag_counts, tag_dictionary
 from ..sources.corpus import documents, generated_sentences, generated_tagged, generated_vocabulary, lines, split, spread, tagged, tokens, usable, words_of
 
 LONGEST = 6
@@ -142,15 +142,20 @@ def pos_context(spark, sf_dir):
     return contexts(_turns(spark, sf_dir), "words", ["conv_id", "turn"])
 
 
-def _gold(spark, sf_dir) -> DataFrame:
-    """conv_id, turn, pos, gold, feature: each token's features with the given earlier tags."""
+def _gold_rows(spark, sf_dir) -> DataFrame:
+    """conv_id, turn, pos, gold, features: each token's features with the given earlier tags."""
     rows = contexts(tagged(_turns(spark, sf_dir)).withColumn("tags", F.transform("tokens", lambda t: t["tag"])), "words", ["conv_id", "turn", "tags"])
     p = F.col("pos").cast("int")
     prev = F.when(p == 0, F.lit("-START-")).otherwise(F.get("tags", p - 1))
     prev2 = F.when(p == 0, F.lit("-START2-")).when(p == 1, F.lit("-START-")).otherwise(F.get("tags", p - 2))
     rows = rows.withColumn("prev", prev).withColumn("prev2", prev2).withColumn("gold", F.get("tags", p))
-    feats = F.array(*feature_columns("prev", "prev2"))
-    return rows.select("conv_id", "turn", "pos", "gold", F.posexplode(feats).alias("slot", "feature")).withColumn("slot", F.col("slot").cast("long"))
+    return rows.select("conv_id", "turn", "pos", "gold", F.array(*feature_columns("prev", "prev2")).alias("features"))
+
+
+def _gold(spark, sf_dir) -> DataFrame:
+    """conv_id, turn, pos, gold, slot, feature: the same, a row for each feature."""
+    rows = _gold_rows(spark, sf_dir)
+    return rows.select("conv_id", "turn", "pos", "gold", F.posexplode("features").alias("slot", "feature")).withColumn("slot", F.col("slot").cast("long"))
 
 
 def pos_features(spark, sf_dir):
@@ -176,16 +181,21 @@ def _counted(spark, sf_dir) -> DataFrame:
 
 
 def pos_score(spark, sf_dir):
-    """The weights are one row per character or tag and class: a size that the text doesn't set."""
-    met = _gold(spark, sf_dir).join(_counted(spark, sf_dir), "feature")
-    scores = met.groupBy("conv_id", "turn", "pos", "class").agg(F.sum("weight").alias("score"))
-    return best_class(scores, ["conv_id", "turn", "pos"])
+    """The weights are one row per character or tag and class: a size that the text doesn't set. They are broadcast,
+    and tokens are scored where they are."""
+    best = scoring(spark.sparkContext.broadcast(_weights(spark, sf_dir)))
+    return _gold_rows(spark, sf_dir).select("conv_id", "turn", "pos", best("features").alias("b")).select("conv_id", "turn", "pos", "b.tag", "b.score")
 
 
-def _count_model(spark, sf_dir) -> PerceptronTaggerModel:
+def _weights(spark, sf_dir) -> dict[str, dict[str, float]]:
     weights: dict[str, dict[str, float]] = {}
     for r in _counted(spark, sf_dir).collect():
         weights.setdefault(r.feature, {})[r["class"]] = r.weight
+    return weights
+
+
+def _count_model(spark, sf_dir) -> PerceptronTaggerModel:
+    weights = _weights(spark, sf_dir)
     rows = tagged(_turns(spark, sf_dir))
     words = {r.word: r.tag for r in tag_dictionary(tag_counts(rows), 20, 0.97).collect()}
     return PerceptronTaggerModel(weights, words, {c for own in weights.values() for c in own})

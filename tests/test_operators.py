@@ -217,3 +217,13 @@ def test_one_exact_pass_has_no_limit(spark):
         train_pass(plain, model.tagdict, SENTS)
         plain.average()
         assert model.weights == plain.weights
+
+
+def test_tokens_are_scored_where_they_are(spark, sf):
+    from lexigrid.operators.tagging import best_class
+    from lexigrid.plans import catalogue
+
+    found = catalogue.pos_score(spark, sf)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    met = catalogue._gold(spark, sf).join(catalogue._counted(spark, sf), "feature").groupBy("conv_id", "turn", "pos", "class").agg(F.sum("weight").alias("score"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, best_class(met, ["conv_id", "turn", "pos"]).collect()))
