@@ -48,8 +48,7 @@ def trie_len(spark, sf_dir):
 
 
 def trie_insert_flags(spark, sf_dir):
-    rows = tokens(documents(spark, sf_dir), ["doc_id"])
-    return SequenceSet.empty(spark).insert_flags(rows, ["doc_id", "pos"], "word")
+    return SequenceSet.empty(spark).insert_flags_within(documents(spark, sf_dir).select("doc_id", words_of(F.col("text")).alias("words")), "doc_id", "words", "pos", "word")
 
 
 def trie_nodes(spark, sf_dir):

@@ -227,3 +227,10 @@ def test_tokens_are_scored_where_they_are(spark, sf):
     assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
     met = catalogue._gold(spark, sf).join(catalogue._counted(spark, sf), "feature").groupBy("conv_id", "turn", "pos", "class").agg(F.sum("weight").alias("score"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, best_class(met, ["conv_id", "turn", "pos"]).collect()))
+
+
+def test_flags_within_arrays(spark):
+    df = spark.createDataFrame([(2, ["b", "a", "b", None]), (1, ["a", "m"]), (3, []), (4, None), (None, ["b", "z"])], "d int, w array<string>")
+    s = SequenceSet.of(spark.createDataFrame([("m",)], "seq string"), "seq")
+    found = {(r.d, r.pos): (r.word, r.is_new) for r in s.insert_flags_within(df, "d", "w", "pos", "word").collect()}
+    assert found == {(2, 0): ("b", False), (2, 1): ("a", False), (2, 2): ("b", False), (2, 3): (None, False), (1, 0): ("a", True), (1, 1): ("m", False), (None, 0): ("b", True), (None, 1): ("z", True)}
